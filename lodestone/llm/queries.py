@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing
+from . import mixing, neardup, packing
 from .common import table
 
 
@@ -19,6 +19,20 @@ def _specs(spark: SparkSession, sf: str) -> list[tuple[str, int]]:
     return [(r["spec"], r["capacity"]) for r in table(spark, sf, "pack_spec").where("spec is not null and capacity >= 1").distinct().collect()]
 
 
+def _p1(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    both = F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce("text", F.lit("")))
+    return neardup.near_duplicates(table(spark, sf, "doc_meta"), both, "id", "ingested_at", width=3, least_words=20, similarity=0.5)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.expand_pairs(*_p1(spark, sf))
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per record with a near-duplicate: its class and number of links."""
+    return neardup.groups(*_p1(spark, sf))
+
+
 def p6_assign(spark: SparkSession, sf: str) -> DataFrame:
     """(spec, doc_id, piece_no, pieces, length, container) for every container kind."""
     from ..session import stage
