@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing
+from . import mixing, neardup, neighbours, packing
 from .common import table
 
 
@@ -33,6 +33,16 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(*_p1(spark, sf))
 
 
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, rank, near_id, cosine) of every valid current vector."""
+    return neighbours.similar_vectors(table(spark, sf, "vectors"), ts_col="embedded_at")
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    x = p4_neighbours(spark, sf)
+    return x.select(F.least("vec_id", "near_id").alias("vec_a"), F.greatest("vec_id", "near_id").alias("vec_b")).distinct()
+
+
 def p6_assign(spark: SparkSession, sf: str) -> DataFrame:
     """(spec, doc_id, piece_no, pieces, length, container) for every container kind."""
     from ..session import stage
