@@ -76,11 +76,11 @@ class MultiIndex:
         self.weights = 1 << np.arange(width, dtype=np.int64)
 
     @classmethod
-    def fit(cls, packed: DataFrame, rows: int, dim: int, tables: int) -> MultiIndex:
+    def fit(cls, packed: DataFrame, rows: int, dim: int, tables: int, extra: int = 0) -> MultiIndex:
         """packed: (id, x). Learns from SAMPLE_ROWS rows; indexes are for ``rows`` rows."""
         width = min(30, max(4, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS + 1e-9))) if rows > BUCKET_ROWS else 4)
         got = packed.select("x", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE_ROWS).select("x").collect()  # bounded: SAMPLE_ROWS vectors
-        sample = unit(np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(-1, dim)) if got else np.empty((0, dim))
+        sample = unit(np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(-1, dim + extra)[:, :dim]) if got else np.empty((0, dim))
         return cls(learn_rotations(sample, tables * width), tables, width)
 
     def keys(self, u: np.ndarray) -> np.ndarray:
@@ -89,13 +89,13 @@ class MultiIndex:
         return bits @ self.weights
 
 
-def bucket_counts(packed: DataFrame, index: MultiIndex, dim: int) -> dict[int, int]:
+def bucket_counts(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) -> dict[int, int]:
     """Buckets of more than BLOCK_ROWS rows: at most rows * tables / BLOCK_ROWS of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             if len(d):
-                g = index.keys(unit(unpack(d["x"], dim))) + (np.arange(index.tables, dtype=np.int64) << 32)
+                g = index.keys(unit(unpack(d["x"], dim + extra)[:, :dim])) + (np.arange(index.tables, dtype=np.int64) << 32)
                 k, n = np.unique(g, return_counts=True)
                 yield pd.DataFrame({"g": k, "n": n})
 
@@ -103,7 +103,7 @@ def bucket_counts(packed: DataFrame, index: MultiIndex, dim: int) -> dict[int, i
     return {r["g"]: r["n"] for r in x.collect()}
 
 
-def bucketed(packed: DataFrame, index: MultiIndex, dim: int) -> DataFrame:
+def bucketed(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) -> DataFrame:
     """Rows (g, bi, bj, side, ids, xs) of packed bucket parts, to be grouped by
     (g, bi, bj).
 
@@ -111,16 +111,17 @@ def bucketed(packed: DataFrame, index: MultiIndex, dim: int) -> DataFrame:
     BLOCK_ROWS rows (a hot one may hold a third of all rows) is cut into blocks
     by id hash, and every pair of blocks becomes a group of its own, so no task
     ever holds more than two blocks' worth of vectors. side: 0 for block bi, 1 for bj.
+    ``extra`` floats may follow the vector in x; they are carried along.
     """
-    hot = bucket_counts(packed, index, dim)
+    hot = bucket_counts(packed, index, dim, extra)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             if not len(d):
                 continue
-            x = unpack(d["x"], dim)
+            x = unpack(d["x"], dim + extra)
             ids = d["id"].to_numpy(np.int64)
-            keys = index.keys(unit(x))
+            keys = index.keys(unit(x[:, :dim]))
             mixed = (ids * -7046029254386353131) >> 33
             out: list[tuple] = []
             for t in range(index.tables):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, neighbours, packing
+from . import clusters, mixing, neardup, neighbours, packing
 from .common import table
 
 
@@ -33,6 +33,20 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(*_p1(spark, sf))
 
 
+def p3_members(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, cluster, leaf, size): the members of every cluster of two and more."""
+    return clusters.cluster(table(spark, sf, "vectors"), ts_col="embedded_at").members()
+
+
+def p3_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """The compact leaves: cluster, size, compactness and most typical members."""
+    return clusters.cluster(table(spark, sf, "vectors"), ts_col="embedded_at").leaves()
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.consecutive(p3_members(spark, sf))
+
+
 def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     """(vec_id, rank, near_id, cosine) of every valid current vector."""
     return neighbours.similar_vectors(table(spark, sf, "vectors"), ts_col="embedded_at")
@@ -78,7 +92,8 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_report(spark, sf).where("capped").select("source")
+    """Sources that want more than they are allowed and got no more than that in the mixture."""
+    return p7_report(spark, sf).where("capped and mixed_size <= max_repeats * size").select("source")
 
 
 def queries() -> dict:
