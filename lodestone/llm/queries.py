@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, mixing, neardup, neighbours, packing
+from . import clusters, mixing, neardup, neighbours, packing, residue
 from .common import table
 
 
@@ -96,6 +96,15 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return p7_report(spark, sf).where("capped and mixed_size <= max_repeats * size").select("source")
 
 
+def p8_residue(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, kind, evidence) of documents that are or hold template residue."""
+    return residue.residue(table(spark, sf, "documents"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p8_residue(spark, sf).select("doc_id").distinct()
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
