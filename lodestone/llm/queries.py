@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clusters, mixing, neardup, neighbours, packing, residue
-from .common import table
+from . import clusters, mixing, neardup, neighbours, packing, quality, residue
+from .common import current_keys, table
 
 
 def sized(spark: SparkSession, sf: str) -> DataFrame:
@@ -33,6 +33,20 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.groups(*_p1(spark, sf))
 
 
+def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """The text quality statistics and the kind of every current doc_meta record."""
+    docs = table(spark, sf, "doc_meta")
+    x = quality.classify(docs.select("id", F.col("ingested_at"), "text"))
+    return x.join(current_keys(docs, "id", "ingested_at"), ["id", "ingested_at"]).dropDuplicates(["id"]).drop("ingested_at", "text")
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "doc_meta")
+    x = quality.classify(docs.select("id", F.col("ingested_at"), "text")).select("id", "ingested_at", "kind")
+    x = x.where(F.col("kind").isin("list", "table", "junk"))
+    return x.join(current_keys(docs, "id", "ingested_at"), ["id", "ingested_at"]).select("id", "kind").dropDuplicates(["id"])
+
+
 def p3_members(spark: SparkSession, sf: str) -> DataFrame:
     """(vec_id, cluster, leaf, size): the members of every cluster of two and more."""
     return clusters.cluster(table(spark, sf, "vectors"), ts_col="embedded_at").members()
