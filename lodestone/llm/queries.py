@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import clusters, mixing, neardup, neighbours, packing, quality, residue
 from .common import current_keys, table
 
@@ -42,7 +43,8 @@ def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "doc_meta")
-    x = quality.classify(docs.select("id", F.col("ingested_at"), "text")).select("id", "ingested_at", "kind")
+    # staged, or the filter on the kind would be pushed down and every statistic computed again inside it
+    x = stage(quality.classify(docs.select("id", F.col("ingested_at"), "text")).select("id", "ingested_at", "kind"), "kinds")
     x = x.where(F.col("kind").isin("list", "table", "junk"))
     return x.join(current_keys(docs, "id", "ingested_at"), ["id", "ingested_at"]).select("id", "kind").dropDuplicates(["id"])
 
@@ -73,8 +75,6 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_assign(spark: SparkSession, sf: str) -> DataFrame:
     """(spec, doc_id, piece_no, pieces, length, container) for every container kind."""
-    from ..session import stage
-
     docs, out = stage(sized(spark, sf), "sizes"), None
     for spec, capacity in _specs(spark, sf):
         x = packing.pack(docs, capacity).select(F.lit(spec).alias("spec"), "*")
@@ -99,8 +99,6 @@ def p7_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, sf: str) -> DataFrame:
-    from ..session import stage
-
     docs, targets = stage(sized(spark, sf), "sizes"), table(spark, sf, "mix_target")
     return mixing.report(docs, targets, mixing.mix(docs, targets))
 
