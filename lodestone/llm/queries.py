@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stage
-from . import clusters, mixing, neardup, neighbours, packing, quality, residue
+from . import clusters, mixing, neardup, neighbours, packing, quality, residue, subjects
 from .common import current_keys, table
 
 
@@ -73,6 +73,21 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return x.select(F.least("vec_id", "near_id").alias("vec_a"), F.greatest("vec_id", "near_id").alias("vec_b")).distinct()
 
 
+def p5_subjects(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, area, share) of every current doc_meta record."""
+    areas = [r["area"] for r in table(spark, sf, "subject_area").collect()]  # a fixed table of ten rows
+    return subjects.assign(table(spark, sf, "doc_meta"), table(spark, sf, "subject_label"), areas, ts_col="ingested_at")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_subjects(spark, sf).select("id", "area")
+
+
+def p5_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Records per area; a record with two areas counts in both."""
+    return p5_subjects(spark, sf).groupBy("area").agg(F.count("*").alias("records"), F.round(F.sum("share"), 3).alias("weight"))
+
+
 def p6_assign(spark: SparkSession, sf: str) -> DataFrame:
     """(spec, doc_id, piece_no, pieces, length, container) for every container kind."""
     docs, out = stage(sized(spark, sf), "sizes"), None
