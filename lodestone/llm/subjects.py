@@ -250,9 +250,11 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], seed: int = 1, lab
         known[r["id"]] = (*known.get(r["id"], ()), r["area"])
     counts = docs.select("id", "title", "text").mapInPandas(_count(known), "lang string, term string, area string, n long").groupBy("term", "lang", "area").agg(F.sum("n").alias("n"))
     per = counts.groupBy("term").agg(F.sum(F.when(F.col("area") == "", F.col("n"))).alias("df"), F.collect_list(F.struct("lang", "area", "n")).alias("by"))  # by: languages x areas at most
-    sizes = {(e["lang"], e["area"]): e["n"] for r in per.where("term = ' '").collect() for e in r["by"]}
+    # one pass for both: the blank, which stands for the documents themselves, is in all of them and so comes first
+    rows = per.where((F.col("term") == " ") | (F.col("df") >= LEAST_DOCS)).orderBy(F.desc("df"), "term").limit(VOCABULARY + 1).collect()
+    sizes = {(e["lang"], e["area"]): e["n"] for r in rows if r["term"] == " " for e in r["by"]}
+    rows = [r for r in rows if r["term"] != " "]
     docs_n = sum(n for (_, a), n in sizes.items() if a == "")
-    rows = per.where((F.col("term") != " ") & (F.col("df") >= LEAST_DOCS)).orderBy(F.desc("df"), "term").limit(VOCABULARY).collect()
     by_lang: dict[str, int] = {}
     for (lang, a), n in sizes.items():
         if a == "":
