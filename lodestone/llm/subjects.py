@@ -12,6 +12,7 @@ has a subject when the topics of the subject hold a third or more of its content
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,22 +63,25 @@ _FUNCTION = {k: frozenset(v.split()) for k, v in LANGUAGES.items()}
 
 
 def words_of(title: str | None, text: str) -> list[str]:
-    return WORD.findall(TAG.sub(" ", f"{title or ''} {text}").replace("\xad", "").lower())
+    s = f"{title or ''} {text}"
+    if "<" in s:
+        s = TAG.sub(" ", s)
+    if "\xad" in s:
+        s = s.replace("\xad", "")
+    return WORD.findall(s.lower())
 
 
-def language(words: list[str]) -> str:
-    """The language with the most function words, '-' where they are under a tenth."""
-    if not words:
-        return "-"
-    counts = {k: sum(map(v.__contains__, words)) for k, v in _FUNCTION.items()}
+def language(words: set[str]) -> str:
+    """The language with the most different function words, '-' where they are under two or a twentieth."""
+    counts = {k: len(v & words) for k, v in _FUNCTION.items()}
     best = max(counts, key=lambda k: counts[k])
-    return best if 10 * counts[best] >= len(words) else "-"
+    return best if counts[best] >= 2 and 20 * counts[best] >= len(words) else "-"
 
 
-def broken(words: list[str]) -> bool:
+def broken(words: list[str], different: set[str]) -> bool:
     """Text whose letters were torn apart or that repeats itself without end: it has no subject."""
     n = len(words)
-    return sum(len(w) == 1 for w in words) > 3 + 0.2 * n or n > 20 and len(set(words)) < 0.15 * n
+    return list(map(len, words)).count(1) > 3 + 0.2 * n or n > 20 and len(different) < 0.15 * n
 
 
 def infer(d: np.ndarray, w: np.ndarray, c: np.ndarray, docs: int, beta: np.ndarray, inner: int = INNER, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
@@ -140,47 +144,49 @@ class Model:
 def _count(labels: dict[int, tuple[str, ...]]):
     """Document counts of every (language, term), in all and among the labelled of each area."""
 
+    def flush(counts: dict[tuple[str, str], Counter]) -> Iterator[pd.DataFrame]:
+        for (lang, area), c in counts.items():
+            terms = [w for w in c if len(w) > 1 or w == " "]
+            yield pd.DataFrame({"lang": lang, "term": terms, "area": area, "n": [c[w] for w in terms]})
+        counts.clear()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[tuple[str, str, str], int] = {}
+        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
         for x in batches:
             for i, title, text in zip(x["id"], x["title"], x["text"]):
                 words = words_of(title, text)
-                if broken(words):
+                different = set(words)
+                if broken(words, different):
                     continue
-                lang = language(words)
-                kinds = [""] + [a for a in labels.get(i, ())]
-                if len(kinds) > 1:
-                    kinds.append("*")  # labelled at all
-                for w in {w for w in words if len(w) > 1} | {" "}:
-                    for a in kinds:
-                        key = (lang, w, a)
-                        counts[key] = counts.get(key, 0) + 1
-            if len(counts) > 400_000:  # bounds the memory of a task
-                yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "term", "area", "n"])
-                counts = {}
-        if counts:
-            yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "term", "area", "n"])
+                lang = language(different)
+                different.add(" ")  # stands for the document
+                counts[lang, ""].update(different)
+                for a in (*labels[i], "*") if i in labels else ():  # "*": labelled at all
+                    counts[lang, a].update(different)
+            if sum(map(len, counts.values())) > 400_000:  # bounds the memory of a task
+                yield from flush(counts)
+        yield from flush(counts)
 
     return run
 
 
 def _bags(index: dict[str, int], stop: dict[str, frozenset[str]]):
+    """Term numbers and counts of every row, without the terms left out in its language."""
+    by_lang = {k: {w: i for w, i in index.items() if w not in v} for k, v in stop.items()}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             out = []
             for i, ts, title, text in zip(x["id"], x["ts"], x["title"], x["text"]):
                 words = words_of(title, text)
-                if broken(words):
+                different = set(words)
+                if broken(words, different):
                     continue
-                skip = stop.get(language(words), frozenset())
-                bag: dict[int, int] = {}
-                for w in words:
-                    k = index.get(w)
-                    if k is not None and w not in skip:
-                        bag[k] = bag.get(k, 0) + 1
+                bag = Counter(map(by_lang.get(language(different), index).get, words))
+                bag.pop(None, None)
                 if bag:
                     keys = sorted(bag)
-                    out.append((i, ts, np.array(keys, np.uint16).tobytes(), np.minimum([bag[k] for k in keys], 255).astype(np.uint8).tobytes()))
+                    out.append((i, ts, np.array(keys, np.uint16).tobytes(), bytes([min(bag[k], 255) for k in keys])))
             yield pd.DataFrame(out, columns=["id", "ts", "w", "c"])
 
     return run
