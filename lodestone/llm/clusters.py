@@ -26,8 +26,8 @@ from .codes import MultiIndex, bucketed, unit, unpack, unpack_group
 from .common import components
 from .neighbours import distinct_vectors
 
-#: Nodes of at most this many rows are finished in one task. Grows only when the
-#: driver would otherwise hold more than MAX_NODES node centres.
+#: Blocks of at most this many rows are compared in full. The tree on the driver ends
+#: there too, or earlier where it would exceed MAX_NODES nodes; tasks part the rest.
 BLOCK_ROWS = 2048
 MAX_NODES = 20_000
 #: A leaf is compact when every member has this cosine to the centre.
@@ -200,9 +200,31 @@ def close_pairs(u: np.ndarray, v: np.ndarray, least: float) -> tuple[np.ndarray,
     return np.concatenate(out_i) if out_i else np.empty(0, np.int64), np.concatenate(out_j) if out_j else np.empty(0, np.int64)
 
 
-def _finish_block(dim: int, least: float, compact: float):
+def _finish_node(dim: int, least: float, compact: float):
+    """Parts a node that is larger than a block further, then finishes its blocks one by one."""
+    finish = _finish_block(dim, least, compact)
+
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("id")
+        d = d.sort_values("id", ignore_index=True)
+        u = unit(unpack(d["x"], dim))
+        work, done = [np.arange(len(d))], []
+        while work:
+            rows = work.pop()
+            if len(rows) <= BLOCK_ROWS:
+                done.append(rows)
+                continue
+            c = two_means(u[rows])
+            s = u[rows] @ (c[1] - c[0]) > 0 if c is not None else np.arange(len(rows)) % 2 == 1
+            if min(s.sum(), (~s).sum()) < 0.01 * len(rows):
+                s = np.arange(len(rows)) % 2 == 1
+            work += [rows[s], rows[~s]]
+        return pd.concat([finish(d.iloc[np.sort(rows)], i) for i, rows in enumerate(done)])
+
+    return run
+
+
+def _finish_block(dim: int, least: float, compact: float):
+    def run(d: pd.DataFrame, block: int) -> pd.DataFrame:
         ids, u = d["id"].to_numpy(np.int64), unit(unpack(d["x"], dim))
         i, j = close_pairs(u, u, least)
         keep = i != j
@@ -239,7 +261,7 @@ def _finish_block(dim: int, least: float, compact: float):
                 heapq.heappush(heap, (-spread, serial, own, a[e], b[e]))
         return pd.DataFrame({
             "id": ids, "node": d["node"].to_numpy(), "leaf": ids[leaf], "comp": ids[comp], "size": size[leaf], "cosine": cos, "place": place, "x": d["x"].to_numpy(),
-            "centre": [np.append(c, [r, k]).astype(np.float32).tobytes() if own else None for c, r, k, own in zip(centres, radius, d["node"], leaf == np.arange(len(ids)))],
+            "centre": [np.append(c, [r, k, block]).astype(np.float32).tobytes() if own else None for c, r, k, own in zip(centres, radius, d["node"], leaf == np.arange(len(ids)))],
         })
 
     return run
@@ -250,8 +272,8 @@ def _near_leaves(dim: int, least: float):
     reach = math.acos(least)
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        ids, x, side = unpack_group(d, dim + 2)
-        u, radius, node = unit(x[:, :dim]), x[:, dim].astype(np.float64), x[:, dim + 1]
+        ids, x, side = unpack_group(d, dim + 3)
+        u, radius, node, block = unit(x[:, :dim]), x[:, dim].astype(np.float64), x[:, dim + 1], x[:, dim + 2]
         split = int((side == 0).sum())
         a, b = (np.arange(split), np.arange(split, len(ids))) if split < len(ids) else (np.arange(len(ids)),) * 2
         f = u.astype(np.float32)
@@ -262,7 +284,7 @@ def _near_leaves(dim: int, least: float):
             lowest = np.cos(np.minimum(math.pi, reach + radius[r].max(initial=0) + radius[b].max(initial=0))) - 1e-5
             i, j = np.nonzero(dots >= lowest)
             i, j = r[i], b[j]
-            ok = (ids[i] < ids[j] if len(a) == len(b) and split == len(ids) else ids[i] != ids[j]) & (node[i] != node[j])
+            ok = (ids[i] < ids[j] if len(a) == len(b) and split == len(ids) else ids[i] != ids[j]) & ((node[i] != node[j]) | (block[i] != block[j]))  # inside a block all is settled
             i, j = i[ok], j[ok]
             ok = np.einsum("ij,ij->i", u[i], u[j]) >= np.cos(np.minimum(math.pi, reach + radius[i] + radius[j])) - 1e-5
             i, j = i[ok], j[ok]
@@ -319,7 +341,7 @@ def cluster(vectors: DataFrame, least: float = 0.8, dim: int = 64, compact: floa
     packed, copies = distinct_vectors(vectors, dim, id_col, vec_col, ts_col, 1)
     packed = stage(packed, "packed")
     n = packed.count()
-    block = max(BLOCK_ROWS, 2 * n // MAX_NODES)
+    block = max(BLOCK_ROWS, 2 * n // MAX_NODES)  # rows of a node that one task parts further
     nodes = grow(packed, n, dim, block)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,12 +350,12 @@ def cluster(vectors: DataFrame, least: float = 0.8, dim: int = 64, compact: floa
                 yield d.assign(node=route(nodes, unit(unpack(d["x"], dim)), d["id"].to_numpy(np.int64)).astype(np.int32))
 
     kind = "id long, node int, leaf long, comp long, size long, cosine double, place int, x binary, centre binary"
-    rows = stage(packed.mapInPandas(label, "id long, x binary, node int").groupBy("node").applyInPandas(_finish_block(dim, least, compact), kind), "leaves")
+    rows = stage(packed.mapInPandas(label, "id long, x binary, node int").groupBy("node").applyInPandas(_finish_node(dim, least, compact), kind), "leaves")
     roots = rows.sparkSession.createDataFrame([], "node long, root long")
-    if len(nodes) > 1:
+    if n > BLOCK_ROWS:
         centres = stage(rows.where("centre is not null").select("id", F.col("centre").alias("x")), "centres")
-        index = MultiIndex.fit(centres, centres.count(), dim, TABLES, extra=2)
-        near = bucketed(centres, index, dim, extra=2).groupBy("g", "bi", "bj").applyInPandas(_near_leaves(dim, least), "a long, b long").distinct()
+        index = MultiIndex.fit(centres, centres.count(), dim, TABLES, extra=3)
+        near = bucketed(centres, index, dim, extra=3).groupBy("g", "bi", "bj").applyInPandas(_near_leaves(dim, least), "a long, b long").distinct()
         of = rows.where("centre is not null").select("leaf", "comp")
         near = stage(near.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca <> cb"), "near")
         if not near.isEmpty():

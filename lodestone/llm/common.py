@@ -25,13 +25,13 @@ def current_keys(df: DataFrame, key: str, ts: str) -> DataFrame:
 def latest(df: DataFrame, key: str, ts: str) -> DataFrame:
     """The current row of every key: the one with the latest ``ts``.
 
-    Rows repeated exactly (same key and ts) give one row; a null ts counts as
-    the earliest.
+    Rows repeated exactly give one row; of different rows with the same key and ts
+    the one with the greatest hash counts, so the choice is the same in every run; a
+    null ts counts as the earliest.
     """
     rest = [c for c in df.columns if c != key]
-    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.max_by(F.struct(*[F.col(c) for c in rest]), F.coalesce(F.col(ts).cast("timestamp"), F.timestamp_seconds(F.lit(-62135596800)))).alias("_r")
-    )
+    when = F.coalesce(F.col(ts).cast("timestamp"), F.timestamp_seconds(F.lit(-62135596800)))
+    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(when, F.xxhash64(*rest))).alias("_r"))
     return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 

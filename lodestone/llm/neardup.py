@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import components, current_keys
+from .common import components
 
 BANDS = 7
 SYMBOLS = 7 * BANDS
@@ -101,7 +101,7 @@ def _sketches(width: int, least_words: int):
                 s2, o2 = s2[first], o2[first]
                 cut = np.flatnonzero(np.append(True, o2[1:] != o2[:-1]))
                 yield pd.DataFrame({
-                    "id": y["id"].to_numpy()[part], "ts": y["ts"].to_numpy()[part],
+                    "id": y["id"].to_numpy()[part], "ts": y["ts"].to_numpy()[part], "h": y["h"].to_numpy()[part],
                     "k1": np.add.reduceat(s2, cut).astype(np.int64), "k2": np.add.reduceat(_mix(s2 ^ np.uint64(0xA5A5A5A5A5A5A5A5)), cut).astype(np.int64),
                     "sign": np.bitwise_or.reduce(bits, axis=1).astype(np.int64),
                     "sketch": [r.tobytes() for r in (low[:, :SYMBOLS] >> np.uint64(48)).astype(np.uint16)],
@@ -150,29 +150,32 @@ def near_duplicates(docs: DataFrame, text: Column, id_col: str = "id", ts_col: s
 
     Null texts count as empty; rows with a null id are dropped; of an id in
     several rows the one with the latest ``ts_col`` counts (a null one is the
-    earliest; without ``ts_col`` ids must be unique). An empty table gives empty
-    results. Whole texts are read, and nothing is gathered on the driver.
+    earliest; of different texts with one id and time the one with the greatest
+    hash counts). An empty table gives empty results. Whole texts are read, and nothing is gathered on the driver.
     """
     from pyspark.sql.functions import pandas_udf
 
     if not 0.5 <= similarity <= 1:
         raise ValueError("the masks are laid out for similarities of 0.5 and more")
     ts = F.coalesce(F.col(ts_col).cast("timestamp_ltz").cast("double"), F.lit(-1e18)) if ts_col else F.lit(0.0)
-    base = docs.select(F.col(id_col).alias("id"), ts.alias("ts"), F.coalesce(text, F.lit("")).alias("s")).where("id is not null")
-    sketched = stage(base.mapInPandas(_sketches(width, least_words), "id long, ts double, k1 long, k2 long, sign long, sketch binary"), "sketch")
+    s = F.coalesce(text, F.lit(""))
+    base = docs.select(F.col(id_col).alias("id"), ts.alias("ts"), F.xxhash64(s).alias("h"), s.alias("s")).where("id is not null")
+    sketched = stage(base.mapInPandas(_sketches(width, least_words), "id long, ts double, h long, k1 long, k2 long, sign long, sketch binary"), "sketch")
     # the current row is chosen among all rows, also those that take no part
-    now = current_keys(base.select("id", "ts"), "id", "ts")
-    members = stage(sketched.select("id", "ts", "k1", "k2").join(now, ["id", "ts"]).dropDuplicates(["id"]), "members")
+    key = ["id", "ts", "h"]
+    now = base.groupBy("id").agg(F.max(F.struct("ts", "h")).alias("m")).select("id", "m.ts", "m.h")
+    members = stage(sketched.select(*key, "k1", "k2").join(now, key).dropDuplicates(["id"]), "members")
     reps = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = members.join(reps, ["k1", "k2"]).select("id", "rep")
 
-    rows = sketched.join(members.groupBy("k1", "k2").agg(F.min_by("ts", "id").alias("ts"), F.min("id").alias("id")).select("id", "ts"), ["id", "ts"])
+    chosen = members.groupBy("k1", "k2").agg(F.min(F.struct(*key)).alias("m")).select("m.*")
+    rows = sketched.join(chosen, key).dropDuplicates(["id"])
     keys = rows.select("id", "sign", "sketch").mapInPandas(_table_keys, "key long, id long, sign long")
     a, b = keys.toDF("key", "a", "sa"), keys.toDF("key", "b", "sb")
     met = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SIGN_LIMIT)).select("a", "b").distinct()
 
     equal = pandas_udf(_equal_symbols, "int")
-    sk = sketched.select("id", "sketch").dropDuplicates(["id"]) if ts_col is None else sketched.join(now, ["id", "ts"]).select("id", "sketch")
+    sk = rows.select("id", "sketch")
     likely = met.join(sk.toDF("a", "ska"), "a").join(sk.toDF("b", "skb"), "b").where(equal("ska", "skb") >= SYMBOL_FLOOR).select("a", "b")
     likely = stage(likely, "likely")
 
@@ -181,7 +184,7 @@ def near_duplicates(docs: DataFrame, text: Column, id_col: str = "id", ts_col: s
     cur = F.broadcast(wanted) if small else wanted
     texts = base.join(cur, "id", "left_semi")
     held = now.join(cur, "id", "left_semi")
-    texts = texts.join(F.broadcast(held) if small else held, ["id", "ts"], "left_semi")
+    texts = texts.join(F.broadcast(held) if small else held, key, "left_semi")
     sets = texts.mapInPandas(_shingle_sets(width, least_words), "id long, r array<long>").dropDuplicates(["id"])
     both = likely.join(sets.toDF("a", "ra"), "a").join(sets.toDF("b", "rb"), "b")
     common = F.size(F.array_intersect("ra", "rb"))

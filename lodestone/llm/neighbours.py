@@ -23,7 +23,7 @@ def distinct_vectors(vectors: DataFrame, dim: int, id_col: str, vec_col: str, ts
     id, place): ids of vectors that are repeated exactly, place 0 for rep itself.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), *([F.col(ts_col).alias("ts")] if ts_col else []))
-    rows = latest(rows, "id", "ts") if ts_col else rows.dropDuplicates(["id"]).where("id is not null")
+    rows = latest(rows if ts_col else rows.withColumn("ts", F.lit(0).cast("timestamp")), "id", "ts")
     rows = stage(rows.where(valid_vector(F.col("v"), dim)).select("id", "v").mapInPandas(pack_floats, "id long, x binary"), "vectors")
     # copies are found by digest, in two steps so that a hot vector is counted before the shuffle
     digest = rows.select("id", F.xxhash64("x").alias("h1"), F.hash("x").alias("h2"))

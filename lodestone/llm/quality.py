@@ -31,7 +31,7 @@ STATISTICS = (
 
 _IN = "(" + ", ".join("'" + w + "'" for w in sorted(set(COMMON_WORDS))) + ")"
 _BREAK = r"\r\n|[\n\r\u000b\f\u0085  ]"
-_CELL = r"\|\|?|!!|\t|,(?=[^\s])|;(?=[^\s])|\s&\s|</t[dh]>| {3,}(?=[^\s])"
+_CELL = r"\|\|?|!!|\t|,(?=[^\s])|;(?=[^\s])|\s&\s|</t[dh]>|(?<! ) {3,}+(?=[^\s])"
 _MARK = r"\s[·•/|→–]\s|;\s|\s\*\s"
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 _END = r"[.!?…:;][\"'”’»)\]]*\s*$"
@@ -54,7 +54,8 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     names = [c for c in docs.columns if c not in STATISTICS and c != "size"]
     t = F.coalesce(F.col(text_col), F.lit(""))
-    x = docs.select(*names, t.alias("_t"))
+    # the caller's columns travel in one struct, so none can clash with the working columns
+    x = docs.select(F.struct(*names, F.lit(0).alias("__")).alias("_row"), t.alias("_t"))
     x = x.withColumn("_n", F.length(F.regexp_replace("_t", _BLANK, "")).cast("double"))
     line = f"""named_struct(
         'c', length(regexp_replace(l, '\\\\s+', '')),
@@ -92,7 +93,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "distinct": share(F.expr("size(array_distinct(flatten(transform(_s, s -> s.w))))"), words), "distinct_lines": share(F.size(F.array_distinct("_l")), lines),
         "line_words": share(words, lines), "prose": part(1), "cells": part(2), "entries": part(3), "rest": part(0), "long_words": share(total("s.b"), words), "marks": share(total("s.m"), words),
     }
-    text = [F.col(c) for c in names]
+    text = [F.col(f"_row.`{c}`").alias(c) for c in names]
     return x.select(*text, n.cast("long").alias("size"), "words", *[F.round(v, 6).alias(k) for k, v in new.items()])
 
 

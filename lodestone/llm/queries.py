@@ -46,7 +46,8 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     # staged, or the filter on the kind would be pushed down and every statistic computed again inside it
     x = stage(quality.classify(docs.select("id", F.col("ingested_at"), "text")).select("id", "ingested_at", "kind"), "kinds")
     x = x.where(F.col("kind").isin("list", "table", "junk"))
-    return x.join(current_keys(docs, "id", "ingested_at"), ["id", "ingested_at"]).select("id", "kind").dropDuplicates(["id"])
+    # of different rows with one id and time the kind that is first by name counts
+    return x.join(current_keys(docs, "id", "ingested_at"), ["id", "ingested_at"]).groupBy("id").agg(F.min("kind").alias("kind"))
 
 
 def p3_members(spark: SparkSession, sf: str) -> DataFrame:

@@ -121,8 +121,8 @@ def map_topics(beta: np.ndarray, vocabulary: list[str], inspected: dict[str, str
     for k in range(beta.shape[1]):
         terms = {vocabulary[i] for i in np.argsort(-lift[:, k], kind="stable")[:top]}
         hits = {a: len(t & terms) for a, t in named.items()}
-        best = max(hits, key=lambda a: hits[a])
-        out.append(best if hits[best] >= least else None)
+        best = max(hits, key=lambda a: hits[a], default=None)
+        out.append(best if best is not None and hits[best] >= least else None)
     return out
 
 
@@ -186,15 +186,15 @@ def _bags(index: dict[str, int], stop: dict[str, frozenset[str]]):
                 bag.pop(None, None)
                 if bag:
                     keys = sorted(bag)
-                    out.append((i, ts, np.array(keys, np.uint16).tobytes(), bytes([min(bag[k], 255) for k in keys])))
+                    out.append((i, ts, np.array(keys, np.uint16).tobytes(), np.array([bag[k] for k in keys], np.uint32).tobytes()))
             yield pd.DataFrame(out, columns=["id", "ts", "w", "c"])
 
     return run
 
 
 def _entries(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = np.array([len(c) for c in x["c"]])
-    return np.repeat(np.arange(len(x)), n), np.frombuffer(b"".join(x["w"]), np.uint16).astype(np.int32), np.frombuffer(b"".join(x["c"]), np.uint8).astype(np.float32)
+    n = np.array([len(c) // 4 for c in x["c"]])
+    return np.repeat(np.arange(len(x)), n), np.frombuffer(b"".join(x["w"]), np.uint16).astype(np.int32), np.frombuffer(b"".join(x["c"]), np.uint32).astype(np.float32)
 
 
 def _expect(beta: np.ndarray):
@@ -301,7 +301,8 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], seed: int = 1, lab
         sums = part.groupBy("part").applyInPandas(_sum, "part int, m binary").collect()  # at most 16 matrices
         total = sum((np.frombuffer(bytes(r["m"]), np.float32).astype(np.float64) for r in sums), np.zeros(beta.size)).reshape(beta.shape)
         beta = normalised(total + prior)
-    return Model(vocabulary, fixed, beta, map_topics(beta, vocabulary)), bags
+    inspected = {a: INSPECTED[a] if a in INSPECTED else " ".join(vocabulary[i] for i in np.argsort(-fm[:, j] * own[:, j], kind="stable")[:15]) for j, a in enumerate(areas)}
+    return Model(vocabulary, fixed, beta, map_topics(beta, vocabulary, inspected)), bags
 
 
 def assign(docs: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "id", title_col: str = "title", text_col: str = "text", ts_col: str | None = None, share: float = SHARE) -> DataFrame:
@@ -310,10 +311,12 @@ def assign(docs: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "
     Null and blank texts, texts torn apart and texts about no listed area have no
     rows; null ids are dropped; an empty table gives no rows. share: of the
     document's terms that are neither function words nor outside the vocabulary,
-    the part held by the topics of the area.
+    the part held by the topics of the area. Of different rows with one id and the
+    same latest time the areas of all count. Subjects without inspected terms are
+    named by the terms that their labels are tied to.
     """
     ts = F.coalesce(F.col(ts_col).cast("timestamp_ltz").cast("double"), F.lit(-1e18)) if ts_col else F.lit(0.0)
     x = docs.select(F.col(id_col).alias("id"), ts.alias("ts"), F.col(title_col).alias("title"), F.col(text_col).alias("text")).where("id is not null")
     model, bags = fit(x.where("length(trim(text)) > 0"), labels, areas)
     found = bags.mapInPandas(_subjects(model, share), "id long, ts double, area string, share double")
-    return found.join(current_keys(x.select("id", "ts"), "id", "ts"), ["id", "ts"]).dropDuplicates(["id", "area"]).select("id", "area", F.round("share", 6).alias("share"))
+    return found.join(current_keys(x.select("id", "ts"), "id", "ts"), ["id", "ts"]).groupBy("id", "area").agg(F.round(F.max("share"), 6).alias("share"))
