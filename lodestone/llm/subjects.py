@@ -112,14 +112,13 @@ def normalised(counts: np.ndarray, eta: float = ETA) -> np.ndarray:
     return (x / x.sum(0)).astype(np.float32)
 
 
-def map_topics(beta: np.ndarray, vocabulary: list[str], inspected: dict[str, str] = INSPECTED, top: int = 60, least: int = 3) -> list[str | None]:
-    """The subject of every topic, from its top terms by probability and lift over the
-    other topics; None (background) where under ``least`` inspected terms are among them."""
-    lift = beta * np.log(np.maximum(beta / np.maximum(beta.sum(1, keepdims=True), 1e-30) * beta.shape[1], 1e-9))
+def map_topics(beta: np.ndarray, vocabulary: list[str], inspected: dict[str, str] = INSPECTED, top: int = 30, least: int = 4) -> list[str | None]:
+    """The subject of every topic, from its most probable terms; None (background) where
+    under ``least`` inspected terms of any subject are among them."""
     named = {a: frozenset(t.split()) for a, t in inspected.items()}
     out: list[str | None] = []
     for k in range(beta.shape[1]):
-        terms = {vocabulary[i] for i in np.argsort(-lift[:, k], kind="stable")[:top]}
+        terms = {vocabulary[i] for i in np.argsort(-beta[:, k], kind="stable")[:top]}
         hits = {a: len(t & terms) for a, t in named.items()}
         best = max(hits, key=lambda a: hits[a], default=None)
         out.append(best if best is not None and hits[best] >= least else None)
@@ -146,7 +145,7 @@ def _count(labels: dict[int, tuple[str, ...]]):
 
     def flush(counts: dict[tuple[str, str], Counter]) -> Iterator[pd.DataFrame]:
         for (lang, area), c in counts.items():
-            terms = [w for w in c if len(w) > 1 or w == " "]
+            terms = [w for w in c if len(w) > 1 or w == " "]  # at least the blank
             yield pd.DataFrame({"lang": lang, "term": terms, "area": area, "n": [c[w] for w in terms]})
         counts.clear()
 
@@ -235,7 +234,8 @@ def _subjects(model: Model, share: float):
                 got, _ = infer(d, w, c, len(y), model.beta, 12)
                 s = got @ model.to_area / np.maximum(got.sum(1, keepdims=True), 1e-9)
                 i, k = np.nonzero(s >= share) if model.areas else (np.empty(0, int), np.empty(0, int))
-                yield pd.DataFrame({"id": y["id"].to_numpy()[i], "ts": y["ts"].to_numpy()[i], "area": [model.areas[j] for j in k], "share": s[i, k].astype(float)})
+                if len(i):
+                    yield pd.DataFrame({"id": y["id"].to_numpy()[i], "ts": y["ts"].to_numpy()[i], "area": [model.areas[j] for j in k], "share": s[i, k].astype(float)})
 
     return run
 
