@@ -64,7 +64,7 @@ class ExactIndex:
         """Appends matrix rows under the next positions as ids."""
         x = check_array(x, self.dim)
         start = self.size
-        df = pd.DataFrame({"vec_id": np.arange(start, start + len(x)), "embedding": list(x)})
+        df = pd.DataFrame({"vec_id": np.arange(start, start + len(x)), "embedding": [v.tolist() for v in x]})
         return self.add(spark.createDataFrame(df, "vec_id long, embedding array<float>"))
 
     def append(self, vectors: DataFrame, order_by: str) -> ExactIndex:
