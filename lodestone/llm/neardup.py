@@ -163,14 +163,14 @@ def near_duplicates(docs: DataFrame, text: Column, id_col: str = "id", ts_col: s
     sketched = stage(base.mapInPandas(_sketches(width, least_words), "id long, ts double, h long, k1 long, k2 long, sign long, sketch binary"), "sketch")
     # the current row is chosen among all rows, also those that take no part
     key = ["id", "ts", "h"]
-    now = base.groupBy("id").agg(F.max(F.struct("ts", "h")).alias("m")).select("id", "m.ts", "m.h")
-    members = stage(sketched.select(*key, "k1", "k2").join(now, key).dropDuplicates(["id"]), "members")
+    now = stage(base.groupBy("id").agg(F.max(F.struct("ts", "h")).alias("m")).select("id", "m.ts", "m.h"), "now")
+    members = stage(sketched.select(*key, "k1", "k2").join(now, key).dropDuplicates(key), "members")
     reps = members.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     classes = members.join(reps, ["k1", "k2"]).select("id", "rep")
 
     chosen = members.groupBy("k1", "k2").agg(F.min(F.struct(*key)).alias("m")).select("m.*")
-    rows = sketched.join(chosen, key).dropDuplicates(["id"])
-    keys = rows.select("id", "sign", "sketch").mapInPandas(_table_keys, "key long, id long, sign long")
+    rows = stage(sketched.select(*key, "sign", "sketch").join(chosen, key).dropDuplicates(key).select("id", "sign", "sketch"), "rows")
+    keys = rows.mapInPandas(_table_keys, "key long, id long, sign long")
     a, b = keys.toDF("key", "a", "sa"), keys.toDF("key", "b", "sb")
     met = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SIGN_LIMIT)).select("a", "b").distinct()
 
