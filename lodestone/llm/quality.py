@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 COMMON_WORDS = """
 the of and a an in to is was are were be been by at on for with as it its this that these those from have has had he she his her they their we our you your i not no
 but or so if than then there which who what when where how all each every some any most more only other into over after before about because although until while could would can will may
+under against near beside since during through between upon such both either nor within whether
 der die das des dem den ein eine einer eines einem einen und oder ist im zu zur zum von vom mit auf für es gab nicht als auch wie sich war wird wurde hat haben bei nach aus über noch nur
 doch ohne zwischen was viele dass wenn aber sind um am an man
 le la les un une des du de et ou est dans pour sur par au aux ce cette il elle on qui que ne pas plus avec sans sont été nous vous se sa son ses leur mais comme à en y entre
@@ -32,6 +33,7 @@ STATISTICS = (
 _IN = "(" + ", ".join("'" + w + "'" for w in sorted(set(COMMON_WORDS))) + ")"
 _BREAK = r"\r\n|[\n\r\u000b\f\u0085  ]"
 _CELL = r"\|\|?|!!|\t|,(?=[^\s])|;(?=[^\s])|\s&\s|</t[dh]>|(?<! ) {3,}+(?=[^\s])"
+_INLINE = r"\s[·•/|→>»]\s"
 _MARK = r"\s[·•/|→–]\s|;\s|\s\*\s"
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 _END = r"[.!?…:;][\"'”’»)\]]*\s*$"
@@ -53,7 +55,7 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     or blank text has words and size 0 and every share 0.
     """
     names = [c for c in docs.columns if c not in STATISTICS and c != "size"]
-    t = F.coalesce(F.col(text_col), F.lit(""))
+    t = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u00ad"), F.lit(""))  # soft hyphens
     # the caller's columns travel in one struct, so none can clash with the working columns
     x = docs.select(F.struct(*names, F.lit(0).alias("__")).alias("_row"), t.alias("_t"))
     x = x.withColumn("_n", F.length(F.regexp_replace("_t", _BLANK, "")).cast("double"))
@@ -61,22 +63,25 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         'c', length(regexp_replace(l, '\\\\s+', '')),
         'w', filter(split(lower(l), '[^\\\\p{{L}}]+'), w -> w <> ''),
         'd', regexp_count(l, {_sql(_CELL)}),
-        'm', regexp_count(l, {_sql(_MARK)}), 'g', length(regexp_replace(l, '[^0-9]+', '')),
+        'm', regexp_count(l, {_sql(_MARK)}), 'a', regexp_count(l, {_sql(_INLINE)}), 't', size(split(trim(l), '\\\\s+')), 'g', length(regexp_replace(l, '[^0-9]+', '')),
         'e', l rlike {_sql(_END)})"""
     x = x.withColumn("_l", F.expr(f"filter(split(_t, {_sql(_BREAK)}), l -> trim(l) <> '')"))
     x = x.withColumn("_s", F.expr(f"transform(_l, l -> {line})"))
     x = x.withColumn(
         "_k",
         F.expr(
-            f"""transform(_s, s -> named_struct('c', s.c, 'n', size(s.w), 'd', s.d, 'm', s.m, 'e', s.e, 'g', s.g,
+            f"""transform(_s, s -> named_struct('c', s.c, 'n', size(s.w), 'd', s.d, 'm', s.m, 'a', s.a, 't', s.t, 'e', s.e, 'g', s.g,
             'o', size(filter(s.w, w -> w in {_IN})), 'i', size(filter(s.w, w -> length(w) = 1)), 'b', size(filter(s.w, w -> length(w) > 22)), 'z', aggregate(s.w, 0, (a, w) -> a + length(w))))"""
         ),
     )
     # what a line is: 1 prose, 2 cells, 3 entry, 0 none
-    kind = """CASE WHEN (s.n >= 6 OR s.o >= 2) AND s.o >= 0.16 * s.n AND s.i <= 0.3 * s.n AND s.z >= 0.55 * s.c AND s.d <= 0.35 * s.n THEN 1
+    kind = """CASE WHEN s.a >= 3 AND s.a * 6 >= s.n AND s.z + s.g >= 0.6 * s.c AND s.i <= 0.4 * s.n AND s.d < 2 * s.a THEN 3
+        WHEN (s.n >= 6 OR s.o >= 2) AND s.o >= 0.16 * s.n AND s.i <= 0.3 * s.n AND s.z >= 0.55 * s.c AND s.d <= 0.35 * s.n THEN 1
         WHEN s.d >= 1 AND s.d * 5 >= s.n AND s.b = 0 AND s.z + s.g >= 0.4 * s.c THEN 2
-        WHEN (s.n BETWEEN 1 AND 9 OR s.m >= 2 AND s.m * 8 >= s.n) AND s.z >= 0.2 * s.c AND s.z + s.g >= 0.6 * s.c AND s.i <= 0.4 * s.n AND s.b = 0 THEN 3 ELSE 0 END"""
-    x = x.withColumn("_q", F.expr(f"transform(_k, s -> named_struct('c', s.c, 'q', {kind}))"))
+        WHEN (s.n BETWEEN 1 AND 9 OR s.m >= 2 AND s.m * 8 >= s.n) AND s.z >= 0.2 * s.c AND s.z + s.g >= 0.6 * s.c AND s.i <= 0.4 * s.n AND s.b = 0 AND s.c <= 25 * s.t THEN 3 ELSE 0 END"""
+    x = x.withColumn("_q", F.expr(f"transform(_k, s -> named_struct('c', s.c, 'e', s.e, 'q', {kind}))"))
+    # a line that goes on from a long line of prose without a full stop is prose too
+    x = x.withColumn("_q", F.expr("transform(_q, (s, i) -> named_struct('c', s.c, 'q', CASE WHEN s.q IN (0, 3) AND i > 0 AND get(_q, i - 1).q = 1 AND NOT get(_q, i - 1).e AND get(_q, i - 1).c >= 30 THEN 1 ELSE s.q END))"))
     total = lambda f, of="_k": F.expr(f"aggregate({of}, 0D, (a, s) -> a + {f})")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     n, lines, words = F.col("_n"), F.size("_l").cast("double"), F.col("words").cast("double")

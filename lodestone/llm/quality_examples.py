@@ -110,8 +110,10 @@ def listing(r: random.Random, size: int) -> str:
         elif form == 6:
             e = r.choice("-*") + " " + (e.upper() if r.random() < 0.3 else e)
         out.append(e)
+    if r.random() < 0.3:  # careless: shouted entries, stray letters
+        out = [e.upper() if r.random() < 0.1 else e.replace(" ", f" {r.choice('aeltx')} ", 1) if r.random() < 0.25 else e for e in out]
     if form == 7:
-        return r.choice((" · ", " / ", " | ", " • ", "; ")).join(out)
+        return r.choice((" · ", " / ", " | ", " • ", " > ", "; ")).join(out)
     return r.choice(("\n", "\n", "\n", "\n\n")).join(out)
 
 
@@ -142,7 +144,7 @@ def table(r: random.Random, size: int) -> str:
 
 
 def junk(r: random.Random, size: int) -> str:
-    form = r.randrange(11)
+    form = r.randrange(12)
     if form == 0:
         return "".join(r.choice("~|+{}/;:\\!_^*%[]&=@<>-#$? ") for _ in range(size))
     if form == 1:
@@ -156,11 +158,11 @@ def junk(r: random.Random, size: int) -> str:
         return "".join(r.choice(("Ã©", "Ã¼", "ÃŸ", "â€™", "�", "Â\xa0", " ", _name(r)[:3])) for _ in range(size // 2))
     if form == 5:
         return "".join(f"{_name(r)[:4].lower()}.{r.choice('abcz')}{r.randint(1, 99)}{{{r.choice(('pad', 'margin', 'top'))}:{r.randint(1, 900)}px;{r.choice(('bg', 'fill'))}:#{r.randrange(1 << 24):06x}}}" for _ in range(size // 36 + 1))
-    if form == 6:  # letters torn apart
-        out = []
+    if form in (6, 11):  # letters torn apart
+        out, wrong, gap = [], r.uniform(0.06, 0.35), r.uniform(0.15, 0.6)
         for c in prose(r, size // 2):
-            out.append(r.choice("|^~`'!.;1") if r.random() < 0.16 else c)
-            if r.random() < 0.3:
+            out.append(r.choice("|^~`'!.;1") if r.random() < wrong else c)
+            if r.random() < gap:
                 out.append(" ")
         return "".join(out)
     if form == 7:  # words without sentences
