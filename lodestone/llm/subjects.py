@@ -63,7 +63,7 @@ _FUNCTION = {k: frozenset(v.split()) for k, v in LANGUAGES.items()}
 
 
 def words_of(title: str | None, text: str) -> list[str]:
-    s = f"{title or ''} {text}"
+    s = f"{title} {text}" if title else text
     if "<" in s:
         s = TAG.sub(" ", s)
     if "\xad" in s:
@@ -81,7 +81,8 @@ def language(words: set[str]) -> str:
 def broken(words: list[str], different: set[str]) -> bool:
     """Text whose letters were torn apart or that repeats itself without end: it has no subject."""
     n = len(words)
-    return list(map(len, words)).count(1) > 3 + 0.2 * n or n > 20 and len(different) < 0.15 * n
+    sizes = list(map(len, words))
+    return sizes.count(1) > 3 + 0.2 * n and sum(sizes) < 4 * n or n > 20 and len(different) < 0.15 * n
 
 
 def infer(d: np.ndarray, w: np.ndarray, c: np.ndarray, docs: int, beta: np.ndarray, inner: int = INNER, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
@@ -177,13 +178,17 @@ def _bags(index: dict[str, int], stop: dict[str, frozenset[str]]):
         for x in batches:
             out = []
             for i, ts, title, text in zip(x["id"], x["ts"], x["title"], x["text"]):
-                words = words_of(title, text)
+                words = words_of(None, text)
                 different = set(words)
                 if broken(words, different):
                     continue
-                bag = Counter(map(by_lang.get(language(different), index).get, words))
+                number = by_lang.get(language(different), index).get
+                bag = Counter(map(number, words))
                 bag.pop(None, None)
-                if bag:
+                if bag:  # a title alone doesn't give a text a subject
+                    if title:
+                        bag.update(map(number, words_of(None, title)))
+                        bag.pop(None, None)
                     keys = sorted(bag)
                     out.append((i, ts, np.array(keys, np.uint16).tobytes(), np.array([bag[k] for k in keys], np.uint32).tobytes()))
             yield pd.DataFrame(out, columns=["id", "ts", "w", "c"])
@@ -308,8 +313,8 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], seed: int = 1, lab
 def assign(docs: DataFrame, labels: DataFrame, areas: list[str], id_col: str = "id", title_col: str = "title", text_col: str = "text", ts_col: str | None = None, share: float = SHARE) -> DataFrame:
     """(id, area, share): the subjects of every current document.
 
-    Null and blank texts, texts torn apart and texts about no listed area have no
-    rows; null ids are dropped; an empty table gives no rows. share: of the
+    Null and blank texts, texts torn apart or without a term of the vocabulary and
+    texts about no listed area have no rows; null ids are dropped; an empty table gives no rows. share: of the
     document's terms that are neither function words nor outside the vocabulary,
     the part held by the topics of the area. Of different rows with one id and the
     same latest time the areas of all count. Subjects without inspected terms are
