@@ -33,7 +33,7 @@ STATISTICS = (
 _IN = "(" + ", ".join("'" + w + "'" for w in sorted(set(COMMON_WORDS))) + ")"
 _BREAK = r"\r\n|[\n\r\u000b\f\u0085  ]"
 _CELL = r"\|\|?|!!|\t|,(?=[^\s])|;(?=[^\s])|\s&\s|</t[dh]>|(?<! ) {3,}+(?=[^\s])"
-_INLINE = r"\s[·•/|→>»]\s"
+_INLINE = r"\s[·•/→>»]\s"
 _MARK = r"\s[·•/|→–]\s|;\s|\s\*\s"
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
 _END = r"[.!?…:;][\"'”’»)\]]*\s*$"
@@ -196,7 +196,7 @@ def _learned(app: str, per_kind: int, seed: int) -> str:
     return to_case(induce(x[order], y[order], seed=seed))
 
 
-def rules(spark: SparkSession, per_kind: int = 500, seed: int = 3) -> str:
+def rules(spark: SparkSession, per_kind: int = 800, seed: int = 3) -> str:
     """The CASE learned from 4 * ``per_kind`` labelled documents; once per application."""
     return _learned(spark.sparkContext.applicationId, per_kind, seed)
 

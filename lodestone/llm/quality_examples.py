@@ -35,6 +35,8 @@ FRENCH = [
     "Sans {w}, le rapport de {N} aurait été plus court.", "Il y a {d} façons de comprendre {w} avec {w}.", "En {y}, {N} a écrit sur {w} et sur {w} sans hâte.", "Pour {N}, {w} compte plus que {w} ou {w}.", "Beaucoup pensent que {w} est simple, mais {N} préférait {w}.",
 ]
 
+PLAIN = ["It was so, and he did not see it.", "I do not go to {N} as he did; we go on.", "He and I met at six in {y}.", "She had it all, and it was no use to her.", "If it is not in the {n}, it is on the way to us.", "“No,” he said, “it is not so.”", "We sat by it and did as he bid us to do.", "You can go, but I am to be at the {n} by ten."]
+
 
 def _name(r: random.Random) -> str:
     return "".join(r.choice(ONSET) + r.choice(VOWEL) + r.choice(CODA) for _ in range(r.choice((2, 2, 3)))).capitalize()
@@ -49,7 +51,7 @@ def _sentence(r: random.Random, forms: list[str], topic: list[str]) -> str:
 
 
 def prose(r: random.Random, size: int) -> str:
-    forms = r.choice([ENGLISH] * 4 + [GERMAN, SPANISH, FRENCH])
+    forms = r.choice([ENGLISH] * 4 + [GERMAN, SPANISH, FRENCH, PLAIN])
     topic = [_name(r) for _ in range(r.randint(2, 12))]
     if r.random() < 0.5:  # few forms, so much repeats
         forms = r.sample(forms, min(len(forms), r.randint(3, 6)))
