@@ -31,11 +31,12 @@ STATISTICS = (
 )
 
 _IN = "(" + ", ".join("'" + w + "'" for w in sorted(set(COMMON_WORDS))) + ")"
-_BREAK = r"\r\n|[\n\r\u000b\f\u0085  ]"
+_BREAK = r"\r\n|[\n\r\x{b}\f\x{85}\x{2028}\x{2029}]"
 _CELL = r"\|\|?|!!|\t|,(?=[^\s])|;(?=[^\s])|\s&\s|</t[dh]>|(?<! ) {3,}+(?=[^\s])"
-_INLINE = r"\s[·•/→>»]\s"
-_MARK = r"\s[·•/|→–]\s|;\s|\s\*\s"
+_INLINE = (" · ", " / ", " • ", " > ", " → ", " » ")
+_MARKS = (" | ", "; ")
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
+_NOT_PUNCTUATION = r"[^.,;:!?'\"()\-]+"
 _END = r"[.!?…:;][\"'”’»)\]]*\s*$"
 
 
@@ -43,9 +44,10 @@ def _sql(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds one column per entry of STATISTICS to ``docs`` (same-named columns are
-    replaced), and ``size``, the number of non-blank characters.
+    replaced), and ``size``, the number of non-blank characters. The text column is
+    left out unless ``keep_text``.
 
     words, mean word length; of non-blank characters the shares of symbols, digits,
     letters and garbled ones; of non-blank lines the share that ends in punctuation
@@ -54,52 +56,54 @@ def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     that read like prose, hold cells, are entries, or none of these. A null, empty
     or blank text has words and size 0 and every share 0.
     """
-    names = [c for c in docs.columns if c not in STATISTICS and c != "size"]
+    names = [c for c in docs.columns if c not in STATISTICS and c != "size" and (keep_text or c != text_col)]
     t = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u00ad"), F.lit(""))  # soft hyphens
     # the caller's columns travel in one struct, so none can clash with the working columns
     x = docs.select(F.struct(*names, F.lit(0).alias("__")).alias("_row"), t.alias("_t"))
-    x = x.withColumn("_n", F.length(F.regexp_replace("_t", _BLANK, "")).cast("double"))
+    # plain replacements count marks much faster than a pattern does
+    marks = lambda of: " + ".join(f"(length(l) - length(replace(l, {_sql(m)}, ''))) div {len(m)}" for m in of)
     line = f"""named_struct(
-        'c', length(regexp_replace(l, '\\\\s+', '')),
+        'l', l, 'c', length(regexp_replace(l, {_sql(_BLANK)}, '')),
         'w', filter(split(lower(l), '[^\\\\p{{L}}]+'), w -> w <> ''),
         'd', regexp_count(l, {_sql(_CELL)}),
-        'm', regexp_count(l, {_sql(_MARK)}), 'a', regexp_count(l, {_sql(_INLINE)}), 't', size(split(trim(l), '\\\\s+')), 'g', length(regexp_replace(l, '[^0-9]+', '')),
+        'a', {marks(_INLINE)}, 'm', {marks(_MARKS)}, 't', length(l) - length(replace(l, ' ', '')) + 1,
+        'g', length(regexp_replace(l, '[^0-9]+', '')),
         'e', l rlike {_sql(_END)})"""
-    x = x.withColumn("_l", F.expr(f"filter(split(_t, {_sql(_BREAK)}), l -> trim(l) <> '')"))
-    x = x.withColumn("_s", F.expr(f"transform(_l, l -> {line})"))
-    x = x.withColumn(
-        "_k",
+    x = x.withColumn("_s", F.expr(f"filter(transform(split(_t, {_sql(_BREAK)}), l -> {line}), s -> s.c > 0)"))
+    # classes of wide characters are slow in patterns, so those are counted one by one
+    several = lambda chars: " + ".join(f"(length(_t) - length(replace(_t, '{c}', '')))" for c in chars)
+    # words, lines and text end here: rows of the further steps hold numbers only
+    x = x.select(
+        "_row",
         F.expr(
-            f"""transform(_s, s -> named_struct('c', s.c, 'n', size(s.w), 'd', s.d, 'm', s.m, 'a', s.a, 't', s.t, 'e', s.e, 'g', s.g,
-            'o', size(filter(s.w, w -> w in {_IN})), 'i', size(filter(s.w, w -> length(w) = 1)), 'b', size(filter(s.w, w -> length(w) > 22)), 'z', aggregate(s.w, 0, (a, w) -> a + length(w))))"""
-        ),
+            f"""transform(_s, s -> named_struct('c', double(s.c), 'n', double(size(s.w)), 'd', double(s.d), 'm', double(s.a + s.m), 'a', double(s.a), 't', double(s.t), 'e', s.e, 'g', double(s.g),
+            'o', double(size(filter(s.w, w -> w in {_IN}))), 'i', double(size(filter(s.w, w -> length(w) = 1))), 'b', double(size(filter(s.w, w -> length(w) > 22))), 'z', double(length(array_join(s.w, '')))))"""
+        ).alias("_k"),
+        F.expr("double(size(array_distinct(flatten(transform(_s, s -> s.w)))))").alias("_dw"), F.expr("double(size(array_distinct(transform(_s, s -> s.l))))").alias("_dl"),
+        F.expr(f"double(length(regexp_replace(_t, {_sql(_NOT_PUNCTUATION)}, '')) + {several('–—’“”«»…')})").alias("_p"), F.expr(f"double({several('ÃÂâ�')})").alias("_g"),
     )
     # what a line is: 1 prose, 2 cells, 3 entry, 0 none
-    kind = """CASE WHEN s.a >= 3 AND s.a * 6 >= s.n AND s.z + s.g >= 0.6 * s.c AND s.i <= 0.4 * s.n AND s.d < 2 * s.a THEN 3
-        WHEN (s.n >= 6 OR s.o >= 2) AND s.o >= 0.16 * s.n AND s.i <= 0.3 * s.n AND s.z >= 0.55 * s.c AND s.d <= 0.35 * s.n THEN 1
-        WHEN s.d >= 1 AND s.d * 5 >= s.n AND s.b = 0 AND s.z + s.g >= 0.4 * s.c THEN 2
-        WHEN (s.n BETWEEN 1 AND 9 OR s.m >= 2 AND s.m * 8 >= s.n) AND s.z >= 0.2 * s.c AND s.z + s.g >= 0.6 * s.c AND s.i <= 0.4 * s.n AND s.b = 0 AND s.c <= 25 * s.t THEN 3 ELSE 0 END"""
+    kind = """CASE WHEN s.a >= 3 AND s.a * 6 >= s.n AND s.z + s.g >= 0.6D * s.c AND s.i <= 0.4D * s.n AND s.d < 2D * s.a THEN 3
+        WHEN (s.n >= 6 OR s.o >= 2) AND s.o >= 0.16D * s.n AND s.i <= 0.3D * s.n AND s.z >= 0.55D * s.c AND s.d <= 0.35D * s.n THEN 1
+        WHEN s.d >= 1 AND s.d * 5 >= s.n AND s.b = 0 AND s.z + s.g >= 0.4D * s.c THEN 2
+        WHEN (s.n BETWEEN 1 AND 9 OR s.m >= 2 AND s.m * 8 >= s.n) AND s.z >= 0.2D * s.c AND s.z + s.g >= 0.6D * s.c AND s.i <= 0.4D * s.n AND s.b = 0 AND s.c <= 25D * s.t THEN 3 ELSE 0 END"""
     x = x.withColumn("_q", F.expr(f"transform(_k, s -> named_struct('c', s.c, 'e', s.e, 'q', {kind}))"))
     # a line that goes on from a long line of prose without a full stop is prose too
     x = x.withColumn("_q", F.expr("transform(_q, (s, i) -> named_struct('c', s.c, 'q', CASE WHEN s.q IN (0, 3) AND i > 0 AND get(_q, i - 1).q = 1 AND NOT get(_q, i - 1).e AND get(_q, i - 1).c >= 30 THEN 1 ELSE s.q END))"))
     total = lambda f, of="_k": F.expr(f"aggregate({of}, 0D, (a, s) -> a + {f})")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    n, lines, words = F.col("_n"), F.size("_l").cast("double"), F.col("words").cast("double")
-    x = x.withColumn("words", total("s.n").cast("long"))
-    count = lambda pattern: F.length(F.regexp_replace("_t", pattern, "")).cast("double")
-    letters, digits = count(r"[^\p{L}]+"), count(r"[^\p{Nd}]+")
-    x = x.withColumns({"_a": letters, "_d": digits})
+    x = x.withColumns({"words": total("s.n"), "_n": total("s.c"), "_a": total("s.z"), "_d": total("s.g")})
+    n, lines, words = F.col("_n"), F.size("_k").cast("double"), F.col("words")
     part = lambda q: share(F.expr(f"aggregate(filter(_q, s -> s.q = {q}), 0D, (a, s) -> a + s.c)"), n)
     new = {
-        "mean_word": share(total("s.z"), words), "letters": share(F.col("_a"), n), "digits": share(F.col("_d"), n),
-        "symbols": share(n - F.col("_a") - F.col("_d") - count(r"[^.,;:!?'\"()\-–—’“”«»…]+"), n),
-        "garbled": share(count("[^�ÃÂâ€™šžŸ¢£¤¥¦§¨ª¬¯±²³´¶¸¹º¼½¾]+"), n),
+        "mean_word": share(F.col("_a"), words), "letters": share(F.col("_a"), n), "digits": share(F.col("_d"), n),
+        "symbols": share(n - F.col("_a") - F.col("_d") - F.col("_p"), n), "garbled": share(F.col("_g"), n),
         "end_lines": share(F.expr("size(filter(_k, s -> s.e))"), lines), "common": share(total("s.o"), words), "single": share(total("s.i"), words),
-        "distinct": share(F.expr("size(array_distinct(flatten(transform(_s, s -> s.w))))"), words), "distinct_lines": share(F.size(F.array_distinct("_l")), lines),
+        "distinct": share(F.col("_dw"), words), "distinct_lines": share(F.col("_dl"), lines),
         "line_words": share(words, lines), "prose": part(1), "cells": part(2), "entries": part(3), "rest": part(0), "long_words": share(total("s.b"), words), "marks": share(total("s.m"), words),
     }
     text = [F.col(f"_row.`{c}`").alias(c) for c in names]
-    return x.select(*text, n.cast("long").alias("size"), "words", *[F.round(v, 6).alias(k) for k, v in new.items()])
+    return x.select(*text, n.cast("long").alias("size"), words.cast("long").alias("words"), *[F.round(v, 6).alias(k) for k, v in new.items()])
 
 
 # -- rule induction ---------------------------------------------------------
@@ -201,10 +205,10 @@ def rules(spark: SparkSession, per_kind: int = 800, seed: int = 3) -> str:
     return _learned(spark.sparkContext.applicationId, per_kind, seed)
 
 
-def classify(docs: DataFrame, text_col: str = "text", case: str | None = None) -> DataFrame:
+def classify(docs: DataFrame, text_col: str = "text", case: str | None = None, keep_text: bool = True) -> DataFrame:
     """Adds ``kind`` (prose, list, table or junk) and the statistics. Null, empty
     and blank texts are 'blank'."""
-    x = statistics(docs, text_col)
+    x = statistics(docs, text_col, keep_text)
     case = case or rules(docs.sparkSession)
     return x.withColumn("kind", F.when(F.col("size") == 0, "blank").otherwise(F.expr(case)))
 

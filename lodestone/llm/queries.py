@@ -37,14 +37,14 @@ def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
 def p2_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """The text quality statistics and the kind of every current doc_meta record."""
     docs = table(spark, sf, "doc_meta")
-    x = quality.classify(docs.select("id", F.col("ingested_at"), "text"))
-    return x.join(current_keys(docs, "id", "ingested_at"), ["id", "ingested_at"]).dropDuplicates(["id"]).drop("ingested_at", "text")
+    x = quality.classify(docs.select("id", F.col("ingested_at"), "text"), keep_text=False)
+    return x.join(current_keys(docs, "id", "ingested_at"), ["id", "ingested_at"]).dropDuplicates(["id"]).drop("ingested_at")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "doc_meta")
     # staged, or the filter on the kind would be pushed down and every statistic computed again inside it
-    x = stage(quality.classify(docs.select("id", F.col("ingested_at"), "text")).select("id", "ingested_at", "kind"), "kinds")
+    x = stage(quality.classify(docs.select("id", F.col("ingested_at"), "text"), keep_text=False).select("id", "ingested_at", "kind"), "kinds")
     x = x.where(F.col("kind").isin("list", "table", "junk"))
     # of different rows with one id and time the kind that is first by name counts
     return x.join(current_keys(docs, "id", "ingested_at"), ["id", "ingested_at"]).groupBy("id").agg(F.min("kind").alias("kind"))
