@@ -137,7 +137,27 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_VECTORS = """x AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY embedded_at DESC) AS r FROM vectors)
+            WHERE r = 1 AND embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NULL OR isnan(v) OR isinf(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+        u AS (SELECT vec_id, list_transform(e, lambda v: v / sqrt(list_inner_product(e, e))) AS e FROM x),
+        c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.e, b.e), 6) AS cosine FROM u a, u b WHERE a.vec_id <> b.vec_id),
+        near AS (SELECT * FROM c WHERE cosine >= 0.8)"""
+
 ORACLE = {
+    "p1_found": r"""
+        WITH d AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || '. ' || coalesce(text, '')), '[\p{L}\p{N}]+') AS w
+            FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS r FROM doc_meta) WHERE r = 1),
+        s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 20)),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+        c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2)
+        SELECT id_a, id_b FROM c JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE 2 * c >= a.n + b.n - c""",
+    "p3_found": f"""
+        WITH RECURSIVE {_VECTORS}, reach AS (SELECT a, b FROM near UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+        root AS (SELECT a AS vec_id, least(a, min(b)) AS root FROM reach GROUP BY a),
+        l AS (SELECT vec_id AS vec_a, lead(vec_id) OVER (PARTITION BY root ORDER BY vec_id) AS vec_b FROM root) SELECT * FROM l WHERE vec_b IS NOT NULL""",
+    "p4_found": f"""
+        WITH {_VECTORS}, r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS r FROM near)
+        SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE r <= 10""",
     "p6_found": """
         SELECT s.spec, d.doc_id FROM documents d JOIN pack_spec s ON strlen(coalesce(d.text, '')) > s.capacity""",
     "p7_found": """
