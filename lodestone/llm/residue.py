@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from operator import eq
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,7 +62,8 @@ ESCAPED = re.compile(r"\\([_{}$#&%])")
 ANGLE = re.compile(r"\$\s*\\langle\s*\$|\$\s*\\rangle\s*\$|\\textless\b\s*(?:\{\})?|\\textgreater\b\s*(?:\{\})?")
 
 B = r"([^\n{}\[\]<>()$\\@*?|=]{1,120})"
-#: (pattern, least share of known words, whether a core word is needed)
+#: (pattern, least share of known words, whether a core word is needed). Patterns begin
+#: with the delimiter, lookbehinds follow it: the search can skip to it then.
 SLOTS = [
     (re.compile(r"\{\{\{{0,4}\s{0,8}" + B + r"\s{0,8}\}{0,4}\}\}"), 0.6, True),
     (re.compile(r"\[\[\s{0,8}" + B + r"\s{0,8}\]\]"), 0.6, True),
@@ -71,7 +71,7 @@ SLOTS = [
     (re.compile(r"@@\s{0,8}" + B + r"\s{0,8}@@"), 0.5, False),
     (re.compile(r"\*\*\*\s{0,8}" + B + r"\s{0,8}\*\*\*"), 0.6, True),
     (re.compile(r"\(\(\s{0,8}" + B + r"\s{0,8}\)\)"), 0.6, True),
-    (re.compile(r"(?<![^\W_])_{2,6}\s{0,8}([^\W_][^\n{}\[\]<>()$\\@*?|=]{0,118}?[^\W_])\s{0,8}_{2,6}(?![^\W_])"), 0.6, True),
+    (re.compile(r"__(?<![^\W_]__)_{0,4}\s{0,8}([^\W_][^\n{}\[\]<>()$\\@*?|=]{0,118}?[^\W_])\s{0,8}_{2,6}(?![^\W_])"), 0.6, True),
     (re.compile(r"[$#]\{\s{0,8}" + B + r"\s{0,8}\}"), 0.6, True),
     (re.compile(r"\?{3,8}\s{0,8}" + B + r"\s{0,8}\?{3,8}"), 0.5, False),
     (re.compile(r"%%\s{0,8}" + B + r"\s{0,8}%%"), 0.6, True),
@@ -79,8 +79,8 @@ SLOTS = [
     (re.compile(r"\{\\(?:bf|it|em|bfseries|itshape)\s{0,8}\[\s{0,8}" + B + r"\s{0,8}\]\}|\\(?:textbf|textit|emph)\{\s{0,8}\[\s{0,8}([^\n{}\[\]<>()$\\@*?|=]{1,120})\s{0,8}\]\}"), 0.75, True),
     (re.compile(r"\\(?:textit|emph|textbf|textsl)\{\s{0,8}\(\s{0,8}" + B + r"\s{0,8}\)\s{0,8}\}"), 0.75, True),
     (re.compile(r"\\todo(?:\[[^\]]*\])?\{\s{0,8}" + B + r"\s{0,8}\}"), 0.9, True),
-    (re.compile(r"(?<![\w\\}\]\[])\[\s{0,8}" + B + r"\s{0,8}\](?![\]({])"), 0.9, True),
-    (re.compile(r"(?<![\w<\\])<\s{0,8}([^\W\d][^\n{}\[\]<>()$\\@*?|=/]{1,120}?)\s{0,8}>(?!>)"), 0.9, True),
+    (re.compile(r"\[(?<![\w\\}\]\[]\[)\s{0,8}" + B + r"\s{0,8}\](?![\]({])"), 0.9, True),
+    (re.compile(r"<(?<![\w<\\]<)\s{0,8}([^\W\d][^\n{}\[\]<>()$\\@*?|=/]{1,120}?)\s{0,8}>(?!>)"), 0.9, True),
 ]
 UNIT = r"(?:^|(?<=[\n{}])|(?<=\\and )|(?<=[.!?] )|(?<=[.!?]\n)|(?<=\] ))\s*"
 END = r"\s*(?=$|[\n}]|\\and\b|\s[A-ZÀ-Þ])"
@@ -100,14 +100,6 @@ SAMPLE = re.compile(
 REPEATED = re.compile(r"\b([^\W\d_]{2,12})\b(?:[\s,]+\1\b){7,}", re.I)
 RUN = re.compile(r"[^.!?\n{}\\]+")
 
-# What any slot or filler must contain, as plain strings: far cheaper to look for than the grammars.
-MARKS = (
-    "{{", "[[", "<<", "@@", "***", "((", "__", "\\_", "${", "$\\{", "#{", "#\\{", "???", "%%", "[.", "dots", "{\\bf [", "{\\it [", "{\\em [", "bf{[", "it{[", "it{(", "bf{(", "emph{[", "emph{(", "\\todo{", "\\todo[", "langle", "textless",
-    "tbd", "tba", "todo", "fixme", "to be ", "xxx", "coming soon", "platzhalter", "placeholder", "lipsum", "blind", "kant", "lorem", "ipsum", "adipiscing", "dolor", "example text", "sample ", "dummy", "meant to be read", "fills", "replace ", "width of the", "quick brown",
-    "text goes here", " here", "test text", "fülltext", "beispieltext", "remplissage", "relleno", "factice", "d'exemple", "de ejemplo", "de prueba", "simulado", "filler",
-)
-LOOSE = re.compile(r"\[(?<![\w\\}\]\[]\[)\s*[^\W\d][^\n{}\[\]<>()$\\@*?|=]*\](?![\]({])|<\s*[^\W\d][^\n{}\[\]<>()$\\@*?|=/]*>")
-
 
 def _plain(text: str) -> str:
     """Repairs UTF-8 that was read as a one-byte encoding, and odd blanks."""
@@ -236,10 +228,6 @@ def find(text: str | None, title: str | None = None) -> tuple[str, str] | None:
         m = whole_message(content, title)
         if m:
             return "message", m[:120]
-    low = content.lower()
-    words = low.split()
-    if not any(k in low for k in MARKS) and not LOOSE.search(low) and not any(map(eq, words, words[1:])):
-        return None
     m = slot(content)
     if m:
         return "slot", m[:120]

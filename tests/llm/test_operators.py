@@ -347,6 +347,21 @@ def test_residue_is_found(body):
     assert residue.find(ARTICLE % ("On Things", body))
 
 
+@pytest.mark.parametrize("body", [
+    # an example of every grammar, alone in a text: nothing may stand before the grammars that knows less than they
+    "{{title}}", "\\{\\{title\\}\\}", "{{{{{title}}}}}", "[[title]]", "<<title>>", "@@title@@", "***title***", "((title))", "__title__", "______title______", "\\_\\_title\\_\\_", "${title}", "#{title}", "\\#\\{title\\}", "???title???", "\\%\\%TITLE\\%\\%",
+    "[...] title [...]", "[…] title […]", "[\\dots] title [\\ldots]", "{\\bf [title]}", "{\\bfseries[title]}", "{\\itshape [title]}", "\\textbf{[title]}", "\\emph{ [title]}", "\\textsl{(title)}", "\\textbf{ (title)}", "\\todo{title}", "\\todo[inline]{title}", "[title]", "<title here>", "$\\langle$title$\\rangle$", "\\textless title\\textgreater",
+    "TBD", "TBA", "T.B.D.", "t.b.d.", "TODO: more", "FIXME", "To be determined", "Coming soon.", "xxx xxx", "XXXXX", "(Platzhalter)", "Tap here to add text", "Insert abstract here", "Your title goes here",
+    "\\lipsum[1]", "\\kant", "\\zblindtext", "Item two of the sample text", "Line B of the dummy text", "This is a test paragraph", "This is a test sentence", "This is placeholder text", "More filler text follows", "It has no meaning and only fills", "These lines only fill the space",
+    "Nothing in these lines is meant to be read", "They only show the width of the column", "Replace this text before you submit", "The quick brown fox jumps over the lazy dog", "Hier ist ein Fülltext", "Der Absatz zwei des Beispieltextes", "Ceci est un faux texte", "Voici texte factice", "Este es un texto simulado",
+    "na,na,na,na,na,na,na,na", "Bla bla bla bla bla bla bla bla", "lorem ipsum dolor sit amet", "adipiscing elit sed eiusmod tempor",
+])
+def test_every_grammar_is_reached(body):
+    assert residue.slot(residue.own_content(body)) or residue.filler(residue.own_content(body))
+    assert residue.find(body)
+    assert residue.find(f"We study graphs.\n\n{body}\n\nMore prose.")
+
+
 @pytest.mark.parametrize("body", [
     "Plain text of an article with $a < b$ and $b > c$.", "% {{ main content }}", "\\begin{comment}\n[[abstract]]\n\\end{comment}", "\\iffalse Lorem ipsum dolor sit amet consectetur.\\fi", "\\begin{verbatim}\nDear {{ user_name }}\n\\end{verbatim}",
     "Typographers have long used lorem ipsum as dummy text; we measure it.", "Annotators marked placeholders such as ``Your Title Here'' in 12 theses.", "About 4 percent of readers had JavaScript disabled, so the form asked them to enable scripts.",
