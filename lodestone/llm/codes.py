@@ -5,7 +5,9 @@ bounded sample) and reduced to sign bits. A code is cut into substrings, each
 with an index of its own; two codes within Hamming radius m - 1 agree in at least
 one of m substrings (pigeonhole), so probing every index at a vector's own
 substrings retrieves all of them, and most codes of a larger distance. Retrieved
-vectors are then compared as floats.
+vectors are then compared as floats. Longer substrings, which larger tables need,
+are met less often; as many more of them are used, so that two vectors meet with
+the same probability at every number of rows.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ SAMPLE_ROWS = 4096
 BUCKET_ROWS = 600
 #: A larger bucket is cut into blocks of this size, compared pair by pair in tasks of their own.
 BLOCK_ROWS = 4096
+#: Two vectors at the threshold meet in some substring with at least this probability, at any number of rows.
+MEET = 0.97
+#: Where that needs more substrings, they are kept shorter and the buckets grow instead.
+MOST_TABLES = 512
 
 
 def valid_vector(v: Column, dim: int) -> Column:
@@ -58,7 +64,7 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11, rounds: int =
     dim = sample.shape[1]
     rng = np.random.default_rng(seed)
     out = []
-    for _ in range(-(-bits // dim)):
+    for _ in range(max(1, -(-bits // dim))):
         r = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         for _ in range(rounds if len(sample) >= 2 * dim else 0):
             b = np.where(sample @ r >= 0, 1.0, -1.0)
@@ -68,6 +74,15 @@ def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11, rounds: int =
     return np.concatenate(out, axis=1)[:, :bits]
 
 
+def tables_for(width: int, least: float, meet: float = MEET) -> float:
+    """Substrings of ``width`` bits by which vectors of cosine ``least`` meet with probability
+    ``meet``, for sign bits that are independent: one differs with probability angle / pi."""
+    same = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** width
+    if same >= meet:
+        return 1
+    return math.ceil(math.log(1 - meet) / math.log1p(-same)) if same > 1e-12 else math.inf
+
+
 class MultiIndex:
     """``tables`` substrings of ``width`` bits each."""
 
@@ -76,17 +91,25 @@ class MultiIndex:
         self.weights = 1 << np.arange(width, dtype=np.int64)
 
     @classmethod
-    def fit(cls, packed: DataFrame, rows: int, dim: int, tables: int, extra: int = 0) -> MultiIndex:
-        """packed: (id, x). Learns from SAMPLE_ROWS rows; indexes are for ``rows`` rows."""
+    def fit(cls, packed: DataFrame, rows: int, dim: int, tables: int, extra: int = 0, least: float = 0.8, meet: float = MEET) -> MultiIndex:
+        """packed: (id, x). Learns from SAMPLE_ROWS rows; indexes are for ``rows`` rows. There
+        are ``tables`` of them or as many more as ``meet`` at cosine ``least`` needs."""
         width = min(30, max(4, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS + 1e-9))) if rows > BUCKET_ROWS else 4)
+        while width and tables_for(width, least, meet) > MOST_TABLES:
+            width -= 1  # 0: a single bucket of all rows, compared in full
+        tables = max(tables, tables_for(width, least, meet)) if width else 1
         got = packed.select("x", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE_ROWS).select("x").collect()  # bounded: SAMPLE_ROWS vectors
         sample = unit(np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(-1, dim + extra)[:, :dim]) if got else np.empty((0, dim))
         return cls(learn_rotations(sample, tables * width), tables, width)
 
     def keys(self, u: np.ndarray) -> np.ndarray:
         """(rows, tables) substrings of the rows' codes."""
-        bits = (u @ self.rotations >= 0).reshape(len(u), self.tables, self.width)
-        return bits @ self.weights
+        out = np.empty((len(u), self.tables), np.int64)
+        for t in range(0, self.tables, 32):  # bounds the memory of the bits
+            n = min(32, self.tables - t)
+            bits = (u @ self.rotations[:, t * self.width : (t + n) * self.width] >= 0).reshape(len(u), n, self.width)
+            out[:, t : t + n] = bits @ self.weights
+        return out
 
 
 def bucket_counts(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) -> dict[int, int]:
@@ -141,6 +164,9 @@ def bucketed(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) ->
                         for j in range(blocks):
                             lo, hi = min(i, j), max(i, j)
                             out.append((g, int(lo), int(hi), int(i != lo), ids[r].tobytes(), x[r].tobytes()))
+                if t % 32 == 31:  # bounds the copies of a batch that are held
+                    yield pd.DataFrame(out, columns=["g", "bi", "bj", "side", "ids", "xs"])
+                    out = []
             yield pd.DataFrame(out, columns=["g", "bi", "bj", "side", "ids", "xs"])
 
     return packed.mapInPandas(run, "g long, bi int, bj int, side int, ids binary, xs binary")

@@ -122,8 +122,10 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float = 0.8, dim: in
     to the smaller id).
 
     Every vector is indexed and every vector is a query. Cosines are exact
-    (double precision); only retrieval is approximate, with the pairs within
-    Hamming radius tables - 1 of the codes found for certain. Invalid vectors
+    (double precision); only retrieval is approximate: pairs within Hamming radius
+    tables - 1 of the codes are found for certain, pairs at cosine ``least`` with
+    probability codes.MEET at any number of rows, for which there are more tables
+    than ``tables`` where the substrings grow. Invalid vectors
     (null, wrong size, null, NaN or infinite elements, all zero) have no rows and
     are no one's neighbours; an empty table gives no rows. Exact copies are
     searched once: of a vector repeated any number of times the k + 1 smallest
@@ -134,7 +136,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float = 0.8, dim: in
     spark = vectors.sparkSession
     packed, copies = distinct_vectors(vectors, dim, id_col, vec_col, ts_col, k + 1)
     packed = stage(packed, "packed")
-    index = MultiIndex.fit(packed, packed.count(), dim, tables)
+    index = MultiIndex.fit(packed, packed.count(), dim, tables, least=least)
     near = bucketed(packed, index, dim).groupBy("g", "bi", "bj").applyInPandas(_bucket_topk(dim, k, least), "q long, near binary")
     best = near.repartition(slots(spark), "q").sortWithinPartitions("q").mapInPandas(_merge_topk(k), "vec_id long, rank int, near_id long, cosine double")
     if copies.isEmpty():

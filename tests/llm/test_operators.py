@@ -159,6 +159,32 @@ def test_neighbours_match_brute_force(spark):
     assert len(got & want) / len(want) > 0.99 and len(got & want) / len(got) > 0.99
 
 
+def at_cosine(cosine, n, dim=64, seed=3):
+    """Two arrays of unit vectors, row by row at this cosine."""
+    r = np.random.default_rng(seed)
+    a, b = (r.standard_normal((n, dim)) for _ in range(2))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return a, cosine * a + np.sqrt(1 - cosine**2) * b
+
+
+@pytest.mark.parametrize("rows", [10_000, 122_000, 1_200_000, 12_000_000])
+def test_pairs_meet_at_every_number_of_rows(spark, rows):
+    a, b = at_cosine(0.8, 4000)
+    packed = spark.createDataFrame(pd.DataFrame({"id": np.arange(len(a)), "x": [v.tobytes() for v in a.astype(np.float32)]}), "id long, x binary")
+    index = codes.MultiIndex.fit(packed, rows, 64, neighbours.TABLES)
+    assert (index.keys(a) == index.keys(b)).any(1).mean() > 0.96
+    assert rows / 2**index.width <= 2 * codes.BUCKET_ROWS  # buckets don't grow either
+
+
+def test_any_threshold_has_an_index(spark):
+    assert codes.tables_for(8, 1.0) == 1 and codes.tables_for(0, 0.8) == 1 and codes.tables_for(8, -1.0) == np.inf
+    x = cloud(3, 5, 20)
+    got = {(r["vec_id"], r["near_id"]) for r in neighbours.similar_vectors(vectors_of(spark, x), k=4, least=-1.0).collect()}
+    assert got == brute_top(x, 4, -1.0)
+
+
 def test_many_copies_and_scaled_vectors(spark):
     x = cloud(3, 5, 20)
     x = np.concatenate([x, np.repeat(x[:1], 60, axis=0), 3 * x[1:2]])
