@@ -5,14 +5,13 @@ every leaf meets the compactness limits. Splits of different nodes are
 independent, so all nodes beyond the limits are split in the same passes over the
 data; the driver only sees one sum per node. Nodes of at most BLOCK_ROWS rows are
 finished inside a task. Leaves that belong together are then joined: inside a
-node by exact comparison, across nodes by searching the leaf centres with learned
-binary codes and comparing the members of near leaves exactly.
+node by exact comparison, across nodes by searching similar members of different
+components with learned binary codes and comparing them exactly.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,9 @@ MAX_NODES = 20_000
 #: A leaf is compact when every member has this cosine to the centre.
 COMPACT = 0.9
 LLOYD_PASSES = 2
-TABLES = 20
+#: Two members at the threshold that planes separated meet with at least this probability; a
+#: chain may hang on them alone.
+MEET = 0.99
 CHUNK_ROWS = 1024
 TYPICAL = 3
 
@@ -185,13 +186,17 @@ def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def close_pairs(u: np.ndarray, v: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of u and of v whose cosine, rounded to 6 decimals, is >= least."""
+def close_pairs(u: np.ndarray, v: np.ndarray, least: float, apart: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of u and of v whose cosine, rounded to 6 decimals, is >= least; with ``apart``,
+    labels of the rows of either, only those of different labels."""
     f, g = u.astype(np.float32), v.astype(np.float32)
     out_i, out_j = [], []
     for a in range(0, len(u), CHUNK_ROWS):
         s = f[a : a + CHUNK_ROWS] @ g.T
-        i, j = np.nonzero(s >= least - 3e-6)
+        near = s >= least - 3e-6
+        if apart is not None:
+            near &= apart[0][a : a + CHUNK_ROWS, None] != apart[1]
+        i, j = np.nonzero(near)
         edge = s[i, j] < least + 3e-6
         ok = np.ones(len(i), bool)
         ok[edge] = np.round(np.einsum("ij,ij->i", u[a + i[edge]], v[j[edge]]), 6) >= least
@@ -218,21 +223,19 @@ def _finish_node(dim: int, least: float, compact: float):
             if min(s.sum(), (~s).sum()) < 0.01 * len(rows):
                 s = np.arange(len(rows)) % 2 == 1
             work += [rows[s], rows[~s]]
-        return pd.concat([finish(d.iloc[np.sort(rows)], i) for i, rows in enumerate(done)])
+        return pd.concat([finish(d.iloc[np.sort(rows)]) for rows in done])
 
     return run
 
 
 def _finish_block(dim: int, least: float, compact: float):
-    def run(d: pd.DataFrame, block: int) -> pd.DataFrame:
+    def run(d: pd.DataFrame) -> pd.DataFrame:
         ids, u = d["id"].to_numpy(np.int64), unit(unpack(d["x"], dim))
         i, j = close_pairs(u, u, least)
         keep = i != j
         i, j = i[keep], j[keep]
         comp = _joined(len(ids), i, j)
         leaf, cos, size = np.arange(len(ids)), np.ones(len(ids)), np.ones(len(ids), np.int64)
-        centres = u.copy()
-        radius = np.zeros(len(ids))  # angles
         place = np.zeros(len(ids), np.int32)
         serial = 0
         heap: list = [(-np.inf, serial, np.arange(len(ids)), i, j)]
@@ -248,7 +251,6 @@ def _finish_block(dim: int, least: float, compact: float):
             parts = None if near.min() >= compact else two_means(u[rows])
             if parts is None and (near.min() >= compact or len(rows) == 1 or len(rows) == 2):
                 leaf[rows], cos[rows], size[rows] = rows[0], near, len(rows)
-                centres[rows[0]], radius[rows[0]] = c, math.acos(max(-1.0, min(1.0, float(near.min()))))
                 place[rows[np.lexsort((ids[rows], -near))]] = np.arange(len(rows))
                 continue
             side = np.zeros(len(u), bool)
@@ -261,44 +263,34 @@ def _finish_block(dim: int, least: float, compact: float):
                 heapq.heappush(heap, (-spread, serial, own, a[e], b[e]))
         return pd.DataFrame({
             "id": ids, "node": d["node"].to_numpy(), "leaf": ids[leaf], "comp": ids[comp], "size": size[leaf], "cosine": cos, "place": place, "x": d["x"].to_numpy(),
-            "centre": [np.append(c, [r, k, block]).astype(np.float32).tobytes() if own else None for c, r, k, own in zip(centres, radius, d["node"], leaf == np.arange(len(ids)))],
         })
 
     return run
 
 
-def _near_leaves(dim: int, least: float):
-    """Pairs of leaves of different nodes that could hold similar members."""
-    reach = math.acos(least)
+def _tagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(id, comp, x) -> (id, x) with the component behind the vector, as the bits of two floats."""
+    for d in batches:
+        yield pd.DataFrame({"id": d["id"], "x": [x + c.tobytes() for x, c in zip(d["x"], d["comp"].to_numpy(np.int64))]})
+
+
+def _links(dim: int, least: float):
+    """Pairs of components with similar members in a bucket, each pair once."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        ids, x, side = unpack_group(d, dim + 3)
-        u, radius, node, block = unit(x[:, :dim]), x[:, dim].astype(np.float64), x[:, dim + 1], x[:, dim + 2]
+        ids, x, side = unpack_group(d, dim + 2)
+        u = unit(x[:, :dim])
+        names, of = np.unique(np.ascontiguousarray(x[:, dim:]).view(np.int64).ravel(), return_inverse=True)
         split = int((side == 0).sum())
         a, b = (np.arange(split), np.arange(split, len(ids))) if split < len(ids) else (np.arange(len(ids)),) * 2
-        f = u.astype(np.float32)
-        out = []
-        for s in range(0, len(a), CHUNK_ROWS):
+        out = [np.empty(0, np.int64)]
+        for s in range(0, len(a) if len(names) > 1 else 0, CHUNK_ROWS):
             r = a[s : s + CHUNK_ROWS]
-            dots = f[r] @ f[b].T
-            lowest = np.cos(np.minimum(math.pi, reach + radius[r].max(initial=0) + radius[b].max(initial=0))) - 1e-5
-            i, j = np.nonzero(dots >= lowest)
-            i, j = r[i], b[j]
-            ok = (ids[i] < ids[j] if len(a) == len(b) and split == len(ids) else ids[i] != ids[j]) & ((node[i] != node[j]) | (block[i] != block[j]))  # inside a block all is settled
-            i, j = i[ok], j[ok]
-            ok = np.einsum("ij,ij->i", u[i], u[j]) >= np.cos(np.minimum(math.pi, reach + radius[i] + radius[j])) - 1e-5
-            i, j = i[ok], j[ok]
-            out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
-
-    return run
-
-
-def _touch(dim: int, least: float):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            ok = [len(close_pairs(unit(unpack([x], dim)), unit(unpack([y], dim)), least)[0]) > 0 for x, y in zip(d["xa"], d["xb"])]
-            yield d.loc[ok, ["a", "b"]]
+            i, j = close_pairs(u[r], u[b], least, (of[r], of[b]))
+            i, j = of[r[i]], of[b[j]]
+            out.append(np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j)))
+        pairs = np.unique(np.concatenate(out))
+        return pd.DataFrame({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
 
     return run
 
@@ -336,7 +328,8 @@ def cluster(vectors: DataFrame, least: float = 0.8, dim: int = 64, compact: floa
     Invalid vectors (see codes.valid_vector) are left out; exact copies are
     clustered once and join the cluster of their smallest id; an empty table gives
     empty results. Leaves are exact inside a node. A cluster that a plane cut is
-    rejoined over the codes of its leaf centres, the one inexact step.
+    rejoined over the codes of all its members, the one inexact step: a link is found
+    with probability MEET or more, whatever the leaves' radius and the number of rows.
     """
     packed, copies = distinct_vectors(vectors, dim, id_col, vec_col, ts_col, 1)
     packed = stage(packed, "packed")
@@ -349,21 +342,14 @@ def cluster(vectors: DataFrame, least: float = 0.8, dim: int = 64, compact: floa
             if len(d):
                 yield d.assign(node=route(nodes, unit(unpack(d["x"], dim)), d["id"].to_numpy(np.int64)).astype(np.int32))
 
-    kind = "id long, node int, leaf long, comp long, size long, cosine double, place int, x binary, centre binary"
+    kind = "id long, node int, leaf long, comp long, size long, cosine double, place int, x binary"
     rows = stage(packed.mapInPandas(label, "id long, x binary, node int").groupBy("node").applyInPandas(_finish_node(dim, least, compact), kind), "leaves")
     roots = rows.sparkSession.createDataFrame([], "node long, root long")
     if n > BLOCK_ROWS:
-        centres = stage(rows.where("centre is not null").select("id", F.col("centre").alias("x")), "centres")
-        index = MultiIndex.fit(centres, centres.count(), dim, TABLES, extra=3)
-        near = bucketed(centres, index, dim, extra=3).groupBy("g", "bi", "bj").applyInPandas(_near_leaves(dim, least), "a long, b long").distinct()
-        of = rows.where("centre is not null").select("leaf", "comp")
-        near = stage(near.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").where("ca <> cb"), "near")
-        if not near.isEmpty():
-            wanted = near.select(F.col("a").alias("leaf")).union(near.select("b")).distinct()
-            parts = rows.select("leaf", "id", "x").join(wanted, "leaf").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(max(1, n // (CHUNK_ROWS * 64)))))
-            blobs = parts.groupBy("leaf", "chunk").applyInPandas(lambda d: pd.DataFrame({"leaf": d["leaf"].iloc[:1], "xs": [b"".join(d["x"])]}), "leaf long, xs binary")
-            both = near.join(blobs.toDF("a", "xa"), "a").join(blobs.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
-            hits = both.mapInPandas(_touch(dim, least), "a long, b long").distinct().join(near, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        members = stage(rows.select("id", "comp", "x").mapInPandas(_tagged, "id long, x binary"), "members")
+        index = MultiIndex.fit(members, n, dim, 0, extra=2, least=least, meet=MEET)  # links between groups: random bits only
+        hits = stage(bucketed(members, index, dim, extra=2).groupBy("g", "bi", "bj").applyInPandas(_links(dim, least), "a long, b long").distinct(), "links")
+        if not hits.isEmpty():
             roots = stage(components(hits), "roots")
     return Clustering(rows, roots, copies)
 

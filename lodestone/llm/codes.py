@@ -93,14 +93,18 @@ class MultiIndex:
     @classmethod
     def fit(cls, packed: DataFrame, rows: int, dim: int, tables: int, extra: int = 0, least: float = 0.8, meet: float = MEET) -> MultiIndex:
         """packed: (id, x). Learns from SAMPLE_ROWS rows; indexes are for ``rows`` rows. There
-        are ``tables`` of them or as many more as ``meet`` at cosine ``least`` needs."""
+        are ``tables`` under learned rotations and as many more under random ones as ``meet``
+        at cosine ``least`` needs. Learned bits keep groups together, so they part vectors of
+        different groups more often than independent bits; random ones part all alike."""
         width = min(30, max(4, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS + 1e-9))) if rows > BUCKET_ROWS else 4)
         while width and tables_for(width, least, meet) > MOST_TABLES:
             width -= 1  # 0: a single bucket of all rows, compared in full
-        tables = max(tables, tables_for(width, least, meet)) if width else 1
+        every = max(tables, tables_for(width, least, meet)) if width else 1
+        learned = min(tables, every)
         got = packed.select("x", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE_ROWS).select("x").collect()  # bounded: SAMPLE_ROWS vectors
         sample = unit(np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(-1, dim + extra)[:, :dim]) if got else np.empty((0, dim))
-        return cls(learn_rotations(sample, tables * width), tables, width)
+        rotations = [learn_rotations(sample, learned * width), learn_rotations(sample, (every - learned) * width, seed=12, rounds=0)]
+        return cls(np.concatenate(rotations, axis=1), every, width)
 
     def keys(self, u: np.ndarray) -> np.ndarray:
         """(rows, tables) substrings of the rows' codes."""

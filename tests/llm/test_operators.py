@@ -250,6 +250,28 @@ def test_chains_longer_than_a_leaf(spark):
     assert sorted(tuple(r) for r in clusters.consecutive(c.members(), width=5).collect()) == [(i, i + 1) for i in range(len(a) - 1)]
 
 
+def test_wide_leaves_on_either_side_of_a_plane(spark, monkeypatch):
+    """Couples of wide leaves, centres 83 degrees apart, each joined by one link of cosine 0.83."""
+    monkeypatch.setattr(clusters, "BLOCK_ROWS", 128)
+    monkeypatch.setattr(codes, "BUCKET_ROWS", 8)
+    r = np.random.default_rng(6)
+    rows = []
+    for _ in range(60):
+        a, b = np.linalg.qr(r.standard_normal((64, 2)))[0].T
+        at = lambda t: np.cos(t) * a + np.sin(t) * b
+        for centre, tip in ((at(0), at(0.43)), (at(1.45), at(1.02))):
+            rows.append(tip)
+            for _ in range(11):
+                way = r.standard_normal(64)
+                way -= (way @ centre) * centre
+                rows.append(np.cos(0.43) * centre + np.sin(0.43) * way / np.linalg.norm(way))
+    x = np.array(rows, np.float32)
+    label = chains(x, 0.8)
+    assert len(np.unique(label)) == 60
+    got = {(m["vec_id"], m["cluster"]) for m in clusters.cluster(vectors_of(spark, x)).members().collect()}
+    assert got == {(i, int(label[i])) for i in range(len(x))}
+
+
 # -- subjects ---------------------------------------------------------------------------
 
 
