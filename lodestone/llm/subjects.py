@@ -34,6 +34,9 @@ LABEL_ROWS = 20_000
 INNER = 8
 ALPHA, ETA = 0.08, 0.02
 SHARE = 0.3
+#: Words within which repetition and language are judged; a longer text is judged in parts, as
+#: the share of different words falls, and that of function words among them, with the length of any prose.
+WINDOW, LANGUAGE_WINDOW = 2000, 600
 
 # Terms inspected in the fitted topics that name each subject.
 INSPECTED = {
@@ -78,11 +81,45 @@ def language(words: set[str]) -> str:
     return best if counts[best] >= 2 and 20 * counts[best] >= len(words) else "-"
 
 
+def parts(words: list[str], most: int) -> Iterator[list[str]]:
+    """A long text in equal parts of at most ``most`` words."""
+    n, k = len(words), -(-len(words) // most)
+    return (words[i * n // k : (i + 1) * n // k] for i in range(k))
+
+
+def main_language(words: list[str], different: set[str]) -> str:
+    """The language of a text of any length: the one of most of its parts."""
+    if len(words) <= LANGUAGE_WINDOW:
+        return language(different)
+    counts = Counter(language(set(p)) for p in parts(words, LANGUAGE_WINDOW // 2))
+    return min(counts, key=lambda k: (-counts[k], k))
+
+
+def _different_runs(words: list[str], width: int = 5) -> int:
+    """How many different runs of ``width`` words there are, by hash."""
+    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    runs = np.zeros(len(h) - width + 1, np.uint64)
+    for i in range(width):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(runs)]
+    return len(np.unique(runs))
+
+
 def broken(words: list[str], different: set[str]) -> bool:
-    """Text whose letters were torn apart or that repeats itself without end: it has no subject."""
+    """Text whose letters were torn apart or that repeats itself without end: it has no subject.
+
+    It repeats itself when most of its parts have few different words, or the whole
+    has few different runs of words (a long passage over and over).
+    """
     n = len(words)
     sizes = list(map(len, words))
-    return sizes.count(1) > 3 + 0.2 * n and sum(sizes) < 4 * n or n > 20 and len(different) < 0.15 * n
+    if sizes.count(1) > 3 + 0.2 * n and sum(sizes) < 4 * n:
+        return True
+    if n <= 20 or len(different) >= 0.15 * n:
+        return False
+    if n <= WINDOW:
+        return True
+    poor = [len(set(p)) < 0.15 * len(p) for p in parts(words, WINDOW)]
+    return 2 * sum(poor) > len(poor) or _different_runs(words) < 0.15 * n
 
 
 def infer(d: np.ndarray, w: np.ndarray, c: np.ndarray, docs: int, beta: np.ndarray, inner: int = INNER, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +195,7 @@ def _count(labels: dict[int, tuple[str, ...]]):
                 different = set(words)
                 if broken(words, different):
                     continue
-                lang = language(different)
+                lang = main_language(words, different)
                 different.add(" ")  # stands for the document
                 counts[lang, ""].update(different)
                 for a in (*labels[i], "*") if i in labels else ():  # "*": labelled at all
@@ -182,7 +219,7 @@ def _bags(index: dict[str, int], stop: dict[str, frozenset[str]]):
                 different = set(words)
                 if broken(words, different):
                     continue
-                number = by_lang.get(language(different), index).get
+                number = by_lang.get(main_language(words, different), index).get
                 bag = Counter(map(number, words))
                 bag.pop(None, None)
                 if bag:  # a title alone doesn't give a text a subject

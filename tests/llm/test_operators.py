@@ -302,6 +302,33 @@ def test_subjects_of_made_documents(spark):
     assert subjects.assign(docs.limit(0), spark.createDataFrame(labels, "id long, area string"), areas).count() == 0
 
 
+def test_length_alone_breaks_no_text():
+    """A novel's worth of words has few different ones; it still has a language and a subject."""
+    r = np.random.default_rng(8)
+    english = "the of and to in that was his it with as her had for at".split()
+    words = [english[r.integers(15)] if r.random() < 0.4 else f"w{WORDS[r.integers(25)]}{WORDS[r.integers(25)]}{WORDS[int(25 * r.random() ** 3)]}" for _ in range(120_000)]
+    assert len(set(words)) < 0.15 * len(words)
+    assert not subjects.broken(words, set(words))
+    assert subjects.main_language(words, set(words)) == subjects.main_language(words[:300], set(words[:300])) != "-"
+    for again in (["word"] * 120_000, words[:300] * 400, [WORDS[i] for i in r.integers(0, 25, 120_000)], list("abcdefgh") * 9000, ["so"] * 70_000 + words[:30_000]):
+        assert subjects.broken(again, set(again))
+    assert not subjects.broken(words[:2001], set(words[:2001]))
+    for n in (21, 500, 1999):
+        assert subjects.broken(["word", "again"] * (n // 2 + 1), {"word", "again"})
+
+
+def test_long_documents_have_subjects(spark):
+    r = np.random.default_rng(9)
+    areas = sorted(subjects.INSPECTED)
+    docs = [(i, "", about([areas[i % 10]], r), areas[i % 10]) for i in range(600)]
+    prose = lambda n: " ".join(WORDS[r.integers(25)] + WORDS[r.integers(25)] for _ in range(n))
+    docs += [(600 + i, "", " ".join(f"{about([areas[i]], r, 1)} {prose(12)}." for _ in range(1500)), areas[i]) for i in range(10)]
+    df = spark.createDataFrame([d[:3] for d in docs], "id long, title string, text string")
+    labels = spark.createDataFrame([(d[0], d[3]) for d in docs[:200]], "id long, area string")
+    got = {(x["id"], x["area"]) for x in subjects.assign(df, labels, areas).where("id >= 600").collect()}
+    assert got == {(d[0], d[3]) for d in docs[600:]}
+
+
 def test_inference_and_mapping():
     beta = subjects.normalised(np.array([[9.0, 0], [8, 0], [0, 9], [0, 7]]))
     got, _ = subjects.infer(np.array([0, 0, 2]), np.array([0, 1, 2]), np.array([3.0, 2, 4], np.float32), 3, beta)
