@@ -26,6 +26,8 @@ DIM = 64
 L2, IP = Metric.L2, Metric.INNER_PRODUCT
 #: Vectors below this id are the query set of the searches over ``embeddings``.
 QUERIES = 50
+#: The ..._every queries ask each row whose id is divisible by this, so the queries grow with the table.
+EVERY = 50
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -40,6 +42,10 @@ def _asked(base: DataFrame, n: int = QUERIES) -> DataFrame:
     return base.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
+def _asked_every(base: DataFrame) -> DataFrame:
+    return base.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
 def _rounded(found: DataFrame) -> DataFrame:
     return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
@@ -75,6 +81,16 @@ def exact_batch_l2(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(_index(b, L2).search(_asked(b)))
 
 
+def exact_every_ip(spark: SparkSession, sf: str) -> DataFrame:
+    b = _base(spark, sf)
+    return _rounded(_index(b, IP).search(_asked_every(b)))
+
+
+def exact_every_l2(spark: SparkSession, sf: str) -> DataFrame:
+    b = _base(spark, sf)
+    return _rounded(_index(b, L2).search(_asked_every(b)))
+
+
 def _scaled(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of unequal length, on which the two metrics rank differently."""
     return _base(spark, sf).withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("label"))).cast("array<float>"))
@@ -264,6 +280,15 @@ def recall_tests(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.recall_at(found, truth, QUERIES, 10).select(F.round("recall", 6).alias("recall"))
 
 
+def recall_every(spark: SparkSession, sf: str) -> DataFrame:
+    """As recall_tests, over every query there is."""
+    b = _base(spark, sf)
+    q = _asked_every(b)
+    truth, found = _index(b, IP).search(q), _index(b, IP).search(q, where=F.col("vec_id") % 2 == 0)
+    n = q.count()
+    return evaluate.recall_at(found, truth, n, 10).select(F.round("recall", 6).alias("recall"), F.lit(n).cast("long").alias("queries"))
+
+
 def plan_agreement(spark: SparkSession, sf: str) -> DataFrame:
     """Matrix products in tasks against pure column expressions."""
     b = _base(spark, sf)
@@ -330,6 +355,15 @@ def pq_train_recall(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r > 0.55, 0 < index.compression_ratio < 16.1)], "found boolean, compressed boolean")
 
 
+def pq_every_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """As pq_train_recall, over every query there is."""
+    b = _base(spark, sf)
+    q = _asked_every(b)
+    index = PqIndex(DIM, L2, PqParams(m=16)).train(b).add(b)
+    r = evaluate.recall(index.search(q, 100), _index(b, L2).search(q, 10), q).first()["recall"]
+    return spark.createDataFrame([(r > 0.55,)], "found boolean")
+
+
 def pq_rerank_recall(spark: SparkSession, sf: str) -> DataFrame:
     b = _base(spark, sf)
     q = _asked(b)
@@ -362,6 +396,15 @@ def hnsw_recall(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r > 0.95,)], "found boolean")
 
 
+def hnsw_every_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of shards of the default size, over every query there is."""
+    b = _base(spark, sf)
+    q = _asked_every(b)
+    index = HnswIndex(DIM, IP, HnswParams(m=16, ef_construction=100), HnswIndex.shards_for(b.count())).add(b.select("vec_id", "embedding")).staged()
+    r = evaluate.recall(index.search(q, ef=128), _index(b, IP).search(q), q).first()["recall"]
+    return spark.createDataFrame([(r > 0.95,)], "found boolean")
+
+
 def hnsw_filtered_recall(spark: SparkSession, sf: str) -> DataFrame:
     index, b = _graph(spark, sf)
     q = _asked(b)
@@ -475,6 +518,10 @@ def _sql_batch(metric: Metric, base: str = _E, nq: int = QUERIES, k: int = 10, w
         SELECT query_id, rank, vec_id, round({s}, {score_digits}) AS score FROM r WHERE rank <= {k}"""
 
 
+def _sql_every(metric: Metric, where: str = "true") -> str:
+    return _sql_batch(metric, nq=2**63 - 1, where=f"q.vec_id % {EVERY} = 0 AND {where}")
+
+
 def _sql_one(metric: Metric, where: str = "true") -> str:
     return f"SELECT 0 AS query_id, rank, vec_id, score FROM ({_sql_batch(metric, where=where)}) WHERE query_id = 7"
 
@@ -554,6 +601,9 @@ ORACLE = {
     "heldout_random": "SELECT true AS complete, true AS dense, true AS disjoint",
     "recall_harness": _sql_recall("round(avg(hits / n), 6) AS recall, count(*) AS queries"), "recall_tests": _sql_recall("round(sum(hits) / 500.0::DOUBLE, 6) AS recall"),
     "plan_agreement": "SELECT true AS agree",
+    "exact_every_ip": _sql_every(IP), "exact_every_l2": _sql_every(L2), "pq_every_recall": "SELECT true AS found", "hnsw_every_recall": "SELECT true AS found",
+    "recall_every": f"""WITH t AS ({_sql_every(IP)}), f AS ({_sql_every(IP, "b.vec_id % 2 = 0")})
+        SELECT round((SELECT count(*) FROM t JOIN f USING (query_id, vec_id)) / (count(DISTINCT query_id) * 10.0)::DOUBLE, 6) AS recall, count(DISTINCT query_id) AS queries FROM t""",
     "latency_percentiles": "SELECT round(quantile_cont(value::DOUBLE, 0.5), 6) AS p50, round(quantile_cont(value::DOUBLE, 0.99), 6) AS p99, round(avg(value::DOUBLE), 6) AS mean FROM events",
     "even_sampling": """SELECT vec_id, i, CASE WHEN label * 5 + 1 <= 7 THEN i ELSE i * (label * 5) // 6 END AS x FROM embeddings, (SELECT unnest(range(7)) AS i) WHERE i < least(7, label * 5 + 1)""",
     "pq_encode": f"WITH {_PQ} SELECT vec_id, sub, code FROM enc",

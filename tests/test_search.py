@@ -356,3 +356,16 @@ def test_percentiles_split_and_reports(spark, data, tmp_path):
     r = evaluate.benchmark("exact", "gauss", i, asks, i.search(asks), passes=1)
     assert r.recall == 1.0 and "exact" in evaluate.text_table([r]) and "-" in evaluate.text_table([r])
     evaluate.write_report(f"{tmp_path}/r.json", spark, [r])
+
+
+def test_whole_query_set_grows_with_the_table(spark, tmp_path):
+    from lodestone.plans import queries
+
+    x = gauss(420, 64, 12)
+    frame(spark, x).withColumn("label", F.lit(0)).write.parquet(str(tmp_path / "embeddings.parquet"))
+    asked_ids = np.arange(0, 420, 50)
+    for name, metric in (("exact_every_ip", IP), ("exact_every_l2", L2)):
+        found = queries.queries()[name](spark, str(tmp_path)).collect()
+        want = truth(x, x[asked_ids], 10, metric)
+        assert {(r["query_id"], r["rank"], r["vec_id"]) for r in found} == {(int(q), k + 1, int(v)) for q, row in zip(asked_ids, want) for k, v in enumerate(row)}
+    assert queries.queries()["recall_every"](spark, str(tmp_path)).first()["queries"] == len(asked_ids)
