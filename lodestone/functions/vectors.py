@@ -90,8 +90,12 @@ def check_array(x: np.ndarray, dim: int, what: str = "vectors") -> np.ndarray:
 
 
 def to_matrix(cells, dim: int, what: str = "vectors") -> np.ndarray:
-    """Array cells of a batch as a checked float32 matrix."""
+    """Array cells of a batch, or cells of float32 bytes, as a checked float32 matrix."""
     rows = list(cells)
+    if rows and isinstance(rows[0], (bytes, bytearray)):
+        if any(len(v) != 4 * dim for v in rows):
+            raise ValueError(f"{what}: expected {dim} elements in every row")
+        return check_array(np.frombuffer(b"".join(rows), np.float32).reshape(-1, dim), dim, what)
     if any(v is None or len(v) != dim for v in rows):
         raise ValueError(f"{what}: expected {dim} elements in every row")
     x = np.array([np.asarray(v, np.float32) for v in rows], np.float32).reshape(len(rows), dim)

@@ -11,36 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import check_array, exact_keys, key, keys_matrix, literal, require_valid, to_matrix
+from ..functions.vectors import check_array, exact_keys, key, keys_matrix, literal, natural, require_valid, to_matrix
 from ..types import Metric, check_dim, check_k
 from . import storage
-from .topk import PARTIAL, RESULT, best, pad, select_block, single, trim_rows
+from .blocks import collected, masked, score
+from .topk import PARTIAL, RESULT, best, pad, screen, single, trim_rows
 
-#: Queries that are sent to the tasks at once. More are searched block by block, so
-#: what is broadcast never grows with the query table.
-QUERY_BLOCK = 4096
-
-
-def query_blocks(queries: DataFrame, dim: int, block: int = QUERY_BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the queries, at most about ``block`` at a time."""
-    q = queries.select("query_id", "query")
-    n = q.count()
-    parts = max(1, -(-n // block))
-    for i in range(parts):
-        rows = (q if parts == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)).orderBy("query_id").collect()  # bounded by the block
-        yield np.array([r[0] for r in rows], np.int64), to_matrix([r[1] for r in rows], dim, "queries")
-
-
-def masked(vectors: DataFrame, where: Column | None = None, mask: DataFrame | None = None) -> DataFrame:
-    """The vectors that a predicate or a (vec_id, keep) mask lets through.
-
-    Ids that are absent from the mask, or only have false or null ``keep``, fail.
-    """
-    if where is not None:
-        vectors = vectors.where(where)
-    if mask is not None:
-        vectors = vectors.join(mask.where(F.col("keep")).select("vec_id").distinct(), "vec_id", "left_semi")
-    return vectors
+#: Queries that search_columns takes: they become part of the plan.
+COLUMN_QUERIES = 256
 
 
 class ExactIndex:
@@ -87,10 +65,10 @@ class ExactIndex:
         return self.size * self.dim * 4
 
     # -- searching
-    def _base(self, where: Column | None, mask: DataFrame | None) -> DataFrame:
+    def _base(self, where: Column | None, mask: DataFrame | None, absent: str = "error") -> DataFrame:
         if self.vectors is None:
             raise ValueError("the index is empty: add vectors first")
-        return masked(self.vectors, where, mask).select("vec_id", "embedding")
+        return masked(self.vectors, where, mask, absent).select("vec_id", "embedding")
 
     def search_one(self, query: list[float] | np.ndarray, k: int = 10, where: Column | None = None, mask: DataFrame | None = None) -> DataFrame:
         """The k best for one query vector, as a column plan that ends in a take of k ordered rows."""
@@ -98,33 +76,30 @@ class ExactIndex:
         base = require_valid(self._base(where, mask), "embedding", self.dim)
         return single(base.select("vec_id", key(F.col("embedding"), literal(q), self.metric).alias("key")), k, self.metric)
 
-    def search(self, queries: DataFrame, k: int = 10, where: Column | None = None, mask: DataFrame | None = None, padded: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int = 10, where: Column | None = None, mask: DataFrame | None = None, padded: bool = False, absent: str = "error") -> DataFrame:
         """(query_id, rank, vec_id, score) for (query_id, query).
 
         Each task scores its Arrow batches as matrix products and keeps k rows a
-        query, which are merged by (key, vec_id). The predicate or mask is applied
-        before any distance. k 0 gives no rows.
+        query, which are merged by (key, vec_id). The predicate or mask (see
+        blocks.masked) is applied before any distance. k 0 gives no rows. Large
+        query sets are dealt to a grid in the cluster (see blocks.score), so neither
+        the driver nor the plan grows with them.
         """
-        check_k(k)
-        spark, out = queries.sparkSession, None
-        base = self._base(where, mask)
-        if k:
-            for ids, q in query_blocks(queries, self.dim):
-                if len(ids):
-                    part = base.mapInPandas(_partial_topk(ids, q, k, self.dim, self.metric), PARTIAL)
-                    out = part if out is None else out.unionByName(part)
-        found = best(out, k, self.metric) if out is not None else spark.createDataFrame([], RESULT)
+        if not check_k(k):
+            found = queries.sparkSession.createDataFrame([], RESULT)
+        else:
+            found = best(score(self._base(where, mask, absent), queries, self.dim, topk_maker(k, self.metric, reader(self.dim)), PARTIAL), k, self.metric)
         return pad(found, queries, k, self.metric) if padded else found
 
     def search_columns(self, queries: DataFrame, k: int = 10, where: Column | None = None, mask: DataFrame | None = None) -> DataFrame:
-        """As ``search``, for a single block of queries, wholly in column expressions.
+        """As ``search``, for at most COLUMN_QUERIES queries, wholly in column expressions.
 
-        The block is one array literal that every vector is scored against, so
-        there is no join; for small query sets.
+        The queries are one array literal that every vector is scored against, so
+        there is no join.
         """
-        ids, q = next(query_blocks(queries, self.dim))
-        if queries.count() > 256:
-            raise ValueError("search_columns takes at most 256 queries; use search")
+        if queries.count() > COLUMN_QUERIES:
+            raise ValueError(f"search_columns takes at most {COLUMN_QUERIES} queries; use search")
+        ids, q = collected(queries, self.dim)
         base = require_valid(self._base(where, mask), "embedding", self.dim)
         block = F.array(*[F.struct(F.lit(int(i)).cast("long").alias("query_id"), literal(v).alias("query")) for i, v in zip(ids, q)])
         pairs = base.select("vec_id", "embedding", F.explode(block).alias("b"))
@@ -133,10 +108,10 @@ class ExactIndex:
     def within(self, queries: DataFrame, radius: float, where: Column | None = None, mask: DataFrame | None = None) -> DataFrame:
         """Extension: all vectors at a distance (L2) of at most, or with an inner product of at least, ``radius``."""
         limit = radius * radius if self.metric is Metric.L2 else -radius
-        metric, dim, out = self.metric, self.dim, None
-        for ids, q in query_blocks(queries, self.dim):
+        metric, dim = self.metric, self.dim
 
-            def run(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
+        def make(ids: np.ndarray, q: np.ndarray):
+            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for d in batches:
                     x = to_matrix(d["embedding"], dim)
                     i, j = np.nonzero(keys_matrix(q, x, metric) <= limit + 1e-9 * max(1.0, abs(limit)))
@@ -144,11 +119,10 @@ class ExactIndex:
                     ok = e <= limit
                     yield pd.DataFrame({"query_id": ids[i[ok]], "vec_id": d["vec_id"].to_numpy(np.int64)[j[ok]], "key": e[ok]})
 
-            part = self._base(where, mask).mapInPandas(run, PARTIAL)
-            out = part if out is None else out.unionByName(part)
-        w = W.partitionBy("query_id").orderBy("key", "vec_id")
-        from ..functions.vectors import natural
+            return run
 
+        out = score(self._base(where, mask), queries, dim, make, PARTIAL)
+        w = W.partitionBy("query_id").orderBy("key", "vec_id")
         return out.select("query_id", F.row_number().over(w).alias("rank"), "vec_id", natural(F.col("key"), metric).alias("score"))
 
     # -- persistence
@@ -164,21 +138,32 @@ class ExactIndex:
         return cls(meta["dim"], Metric.of(meta["metric"]), spark.read.parquet(f"{path}/vectors"))
 
 
-def _partial_topk(ids: np.ndarray, q: np.ndarray, k: int, dim: int, metric: Metric):
-    """Keeps the k best of every query over all batches of a partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row, vec, keep = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        for d in batches:
-            if not len(d):
-                continue
-            x, v = to_matrix(d["embedding"], dim), d["vec_id"].to_numpy(np.int64)
-            for at in range(0, len(x), 4096):
-                i, j = select_block(keys_matrix(q, x[at : at + 4096], metric), v[at : at + 4096], k)
-                row, vec = np.append(row, i), np.append(vec, v[at + j])
-                keep = np.append(keep, exact_keys(q[i], x[at + j], metric))
-                top = trim_rows(row, keep, vec, k)
-                row, vec, keep = row[top], vec[top], keep[top]
-        yield pd.DataFrame({"query_id": ids[row], "vec_id": vec, "key": keep})
-
-    return run
+def reader(dim: int):
+    """The matrix of a batch of (vec_id, embedding)."""
+    return lambda d: to_matrix(d["embedding"], dim)
+
+
+def topk_maker(k: int, metric: Metric, read):
+    """For blocks.score: keeps the k best of every query over all batches of a partition;
+    ``read`` gives the matrix of a batch."""
+
+    def make(ids: np.ndarray, q: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            row, vec, keep = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            for d in batches:
+                if not len(d):
+                    continue
+                x, v = read(d), d["vec_id"].to_numpy(np.int64)
+                for at in range(0, len(x), 4096):
+                    y, w = x[at : at + 4096], v[at : at + 4096]
+                    for a in range(0, len(q), 1024):
+                        i, j = screen(q[a : a + 1024], y, metric, k)
+                        e = exact_keys(q[a + i], y[j], metric)
+                        row, vec, keep = np.append(row, a + i), np.append(vec, w[j]), np.append(keep, e)
+                    top = trim_rows(row, keep, vec, k)
+                    row, vec, keep = row[top], vec[top], keep[top]
+            yield pd.DataFrame({"query_id": ids[row], "vec_id": vec, "key": keep})
+
+        return run
+
+    return make

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import natural
+from ..functions.vectors import keys_matrix, natural
 from ..types import Metric, check_k
 
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -50,6 +50,32 @@ def select_block(keys: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray,
     return row, col
 
 
+def screen(q: np.ndarray, x: np.ndarray, metric: Metric, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query row, column) of all pairs that can be among a query's k least keys.
+
+    The keys are products in single precision, at twice the speed; pairs within the
+    bound of its rounding error of the k-th are kept, for the caller to settle with exact keys.
+    """
+    if k <= 0 or not len(x) or not len(q):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    qn, xn = np.sqrt((q.astype(np.float64) ** 2).sum(1)), np.sqrt((x.astype(np.float64) ** 2).sum(1))
+    top = float(xn.max())
+    if not np.isfinite((q @ x[:1].T)).all() or max(float(qn.max()), top) > 1e15:
+        return select_block(keys_matrix(q, x, metric), np.arange(len(x)), k)  # squares near the limits of single precision
+    keys = q @ x.T
+    if metric is Metric.INNER_PRODUCT:
+        np.negative(keys, out=keys)
+    else:
+        keys *= -2
+        keys += (xn**2).astype(np.float32)
+    if len(x) <= k:
+        return np.nonzero(np.ones(keys.shape, bool))
+    kth = np.partition(keys, k - 1, axis=1)[:, k - 1]
+    # a product of d terms is off by at most about d eps |q| |x|; the norms' part by eps |x|^2
+    slack = (2 * q.shape[1] * np.finfo(np.float32).eps * (qn * top + (top * top if metric is Metric.L2 else 0)) * 2).astype(np.float32)
+    return np.nonzero(keys <= (kth + slack)[:, None])
+
+
 def trim_rows(row: np.ndarray, key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k least (key, id) of every row number."""
     order = np.lexsort((ids, key, row))
