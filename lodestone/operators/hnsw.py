@@ -1,15 +1,16 @@
 """Approximate search on hierarchical proximity graphs, one graph per shard.
 
-A shard's graph is built and searched inside one task, vector by vector in vec_id
-order, so results are reproducible. With one shard the structure is that of a
-single graph; with several, every shard is searched and the results are merged.
+Vectors are dealt to shards of bounded size by their nearest centre, a shard's
+graph is built inside one task and kept as one row of packed arrays, and a query
+visits the shards of its nearest centres only. Vectors are inserted in vec_id
+order and levels follow from a shard's positions, so results are reproducible.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import math
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, replace
 
 import numpy as np
@@ -17,15 +18,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import exact_keys, to_matrix
+from ..functions.vectors import check_array, exact_keys, to_matrix
 from ..types import HnswParams, Metric, check_dim, check_k
 from . import storage
-from .exact import query_blocks
+from .blocks import QUERY_BLOCK, collected, masked, packed
 from .topk import RESULT, best, pad
 
-GRAPH = "shard int, vec_id long, level int, entry boolean, embedding array<float>, links array<array<bigint>>"
+#: One row a shard: vectors, levels and links as packed arrays (see Graph.to_bytes).
+GRAPH = "shard int, centre int, n long, ids binary, x binary, level binary, links binary"
 RAW = "query_id long, kind string, shard int, step int, layer int, vec_id long, key double"
 SHARD_ROWS = 20_000
+#: Present nodes up to which candidates of new ones come from a scan, which in batches is faster than walking.
+SCAN_ROWS = 65_536
+#: Centres are learned from at most this many rows, and there are at most MOST_CENTRES (32 MB at 64
+#: dimensions in double precision); with more shards than that a centre has several.
+CENTRE_SAMPLE, MOST_CENTRES = 262_144, 65_536
+BROADCAST_BYTES = 64 << 20
+BATCH = 256
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,9 +49,9 @@ def splitmix(seed: int, start: int, n: int) -> np.ndarray:
 
 
 def levels(seed: int, start: int, n: int, m: int) -> np.ndarray:
-    """Exponentially distributed levels: floor(-ln u / ln m), u uniform in (0, 1]."""
-    u = ((splitmix(seed, start, n) >> np.uint64(11)).astype(np.float64) + 1.0) / float(1 << 53)
-    return np.floor(-np.log(u) / math.log(m)).astype(np.int64)
+    """Exponentially distributed levels: floor(-ln u / ln m), u uniform in (0, 1)."""
+    u = np.maximum((splitmix(seed, start, n) >> np.uint64(11)).astype(np.float64) / float(1 << 53), np.finfo(np.float64).tiny)
+    return np.floor(-np.log(u) * (1 / math.log(m))).astype(np.int64)
 
 
 def even_positions(n: int, cap: int) -> list[int]:
@@ -62,186 +71,370 @@ def even_sample(items: Column, cap: int) -> Column:
 
 
 class Graph:
-    """One shard's graph over positions 0 .. n-1."""
+    """One shard's graph over positions 0 .. n-1; links are padded with -1."""
 
-    def __init__(self, x: np.ndarray, metric: Metric, params: HnswParams):
-        self.x, self.metric, self.params = x.astype(np.float32), metric, params
-        self.level = np.zeros(len(x), np.int64)
-        self.links: list[list[list[int]]] = [[] for _ in range(len(x))]
-        self.entry, self.top = -1, -1
+    def __init__(self, dim: int, metric: Metric, params: HnswParams):
+        self.dim, self.metric, self.params = dim, metric, params
+        self.x = np.empty((0, dim), np.float32)
+        self.level = np.empty(0, np.int64)
+        self.links: list[np.ndarray] = [np.empty((0, params.m_max0), np.int32)]
 
-    def keys(self, q: np.ndarray, nodes: list[int] | np.ndarray) -> np.ndarray:
+    @property
+    def n(self) -> int:
+        return len(self.x)
+
+    @property
+    def top(self) -> int:
+        return int(self.level.max()) if self.n else -1
+
+    @property
+    def entry(self) -> int:
+        """The first node of the highest level."""
+        return int(self.level.argmax()) if self.n else -1
+
+    def cap(self, layer: int) -> int:
+        return self.params.m if layer else self.params.m_max0
+
+    def neighbours(self, node: int, layer: int) -> np.ndarray:
+        near = self.links[layer][node]
+        return near[near >= 0]
+
+    # -- keys
+    def keys(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Of one query or row by row."""
         y = self.x[nodes]
         if self.metric is Metric.INNER_PRODUCT:
-            return -(y @ q)
+            return -np.einsum("ij,ij->i", y, np.broadcast_to(q, y.shape))
         d = y - q
         return np.einsum("ij,ij->i", d, d)
 
-    def descend(self, q: np.ndarray, at: int, key: float, layer: int) -> tuple[int, float]:
-        """Walks to strictly better neighbours until there is none."""
-        while True:
-            near = self.links[at][layer] if layer < len(self.links[at]) else []
-            if not near:
-                return at, key
-            k = self.keys(q, near)
-            i = int(k.argmin())
-            if not k[i] < key:
-                return at, key
-            at, key = near[i], float(k[i])
-
-    def beam(self, q: np.ndarray, start: int, ef: int, layer: int, keep: np.ndarray | None = None, trail: list | None = None) -> list[tuple[float, int]]:
-        """The ef best reached nodes as (key, node), ascending.
-
-        Nodes that ``keep`` rejects are walked through but not returned, and while
-        fewer than ef are held the walk goes on. ``trail`` takes every (node, key) evaluated.
+    def table(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Keys of the rows of a against those of b, also in stacks."""
+        dots = a @ np.swapaxes(b, -1, -2)
+        if self.metric is Metric.INNER_PRODUCT:
+            return -dots
+        dots *= -2
+        dots += (a * a).sum(-1)[..., :, None]
+        dots += (b * b).sum(-1)[..., None, :]
+        return dots
+
+    # -- walking
+    def walk(self, q: np.ndarray, entry: np.ndarray, ef: int, layer: int, keep: np.ndarray | None = None, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, keys), queries x ef: the ef best reached nodes of every query, padded with -1 and inf.
+
+        All queries walk in step: each expands its ``width`` best open nodes, unless the
+        best is worse than the ef-th found. ``entry``: queries x starts, padded
+        with -1. Nodes that ``keep`` rejects are walked through but not returned, and
+        while fewer than ef are held the walk goes on.
         """
-        key = float(self.keys(q, [start])[0])
-        seen = np.zeros(len(self.x), bool)
-        seen[start] = True
-        todo = [(key, start)]
-        found: list[tuple[float, int]] = [(-key, -start)] if keep is None or keep[start] else []
-        if trail is not None:
-            trail.append((start, key))
+        rows = len(q)
+        mark = np.full(rows * self.n, -1, np.int32)
+        found, best_key = np.full((rows, ef), -1, np.int64), np.full((rows, ef), np.inf, np.float32)
+        todo, todo_key = np.full((rows, 0), -1, np.int64), np.full((rows, 0), np.inf, np.float32)
+        r, c = np.nonzero(entry >= 0)
+        new = entry[r, c].astype(np.int64)
+        links = self.links[layer]
+        live = np.arange(rows)
+        while len(r):
+            # r: ascending rows, new: nodes not seen before (repeats within the step are dropped)
+            flat = r * self.n + new
+            mark[flat] = np.arange(len(flat), dtype=np.int32)
+            first = mark[flat] == np.arange(len(flat))
+            r, new = r[first], new[first]
+            k = self.keys(q[r], new).astype(np.float32)
+            ok = k < best_key[r].max(1) if len(r) < rows else k < best_key.max(1)[r]
+            r, new, k = r[ok], new[ok], k[ok]
+            fresh, fresh_key = _pad(r, new, k, rows, live)
+            if keep is None:
+                found[live], best_key[live] = _least(np.concatenate([found[live], fresh], 1), np.concatenate([best_key[live], fresh_key], 1), ef)
+            else:
+                kept_key = np.where((fresh >= 0) & keep[fresh], fresh_key, np.inf)
+                found[live], best_key[live] = _least(np.concatenate([found[live], np.where(np.isfinite(kept_key), fresh, -1)], 1), np.concatenate([best_key[live], kept_key], 1), ef)
+            worst = best_key[live].max(1)
+            pool, pool_key = np.concatenate([todo, fresh], 1), np.concatenate([todo_key, fresh_key], 1)
+            pool_key[pool_key > worst[:, None]] = np.inf
+            order = np.argsort(pool_key, axis=1, kind="stable")
+            most = int(np.isfinite(pool_key).sum(1).max(initial=0))
+            order = order[:, :most]
+            pool, pool_key = np.take_along_axis(pool, order, 1), np.take_along_axis(pool_key, order, 1)
+            on = np.isfinite(pool_key[:, 0]) if most else np.zeros(len(live), bool)
+            live, pool, pool_key = live[on], pool[on], pool_key[on]
+            if not len(live):
+                break
+            i, j = np.nonzero(np.isfinite(pool_key[:, :width]))
+            near = links[pool[i, j]]
+            todo, todo_key = pool[:, width:], pool_key[:, width:]
+            r, new = np.repeat(live[i], near.shape[1]), near.ravel().astype(np.int64)
+            ok = new >= 0
+            r, new = r[ok], new[ok]
+            ok = mark[r * self.n + new] < 0
+            r, new = r[ok], new[ok]
+            if not len(r) and todo.shape[1] and np.isfinite(todo_key[:, 0]).any():
+                # nothing new from these: go on with the open nodes that are left
+                while not len(r):
+                    on = np.isfinite(todo_key[:, 0]) if todo.shape[1] else np.zeros(len(live), bool)
+                    live, todo, todo_key = live[on], todo[on], todo_key[on]
+                    if not len(live):
+                        break
+                    i, j = np.nonzero(np.isfinite(todo_key[:, :width]))
+                    near = links[todo[i, j]]
+                    todo, todo_key = todo[:, width:], todo_key[:, width:]
+                    r, new = np.repeat(live[i], near.shape[1]), near.ravel().astype(np.int64)
+                    ok = new >= 0
+                    r, new = r[ok], new[ok]
+                    ok = mark[r * self.n + new] < 0
+                    r, new = r[ok], new[ok]
+        order = np.lexsort((found, best_key), axis=1)
+        return np.take_along_axis(found, order, 1), np.take_along_axis(best_key, order, 1)
+
+    def descend(self, q: np.ndarray, at: np.ndarray, layer: int) -> np.ndarray:
+        """Of every query the node where no neighbour on the layer is strictly better."""
+        at, key = at.copy(), self.keys(q, at)
+        live = np.arange(len(q))
+        while len(live):
+            near = self.links[layer][at[live]]
+            k = self.keys(np.repeat(q[live], near.shape[1], axis=0), near.ravel()).reshape(near.shape)
+            k[near < 0] = np.inf
+            i = k.argmin(1)
+            better = k[np.arange(len(live)), i] < key[live]
+            live, i, k, near = live[better], i[better], k[better], near[better]
+            at[live], key[live] = near[np.arange(len(live)), i], k[np.arange(len(live)), i]
+        return at
+
+    # -- building
+    def choose(self, near: np.ndarray, key: np.ndarray, cap: int) -> np.ndarray:
+        """rows x cap: spread-out neighbours of every row, padded with -1. Candidates ascend by
+        key; one is kept if it is no nearer to a kept one than to the row itself."""
+        out = np.full((len(near), cap), -1, np.int32)
+        step = max(1, (24 << 20) // (4 * max(near.shape[1], 1) * max(self.dim, near.shape[1])))
+        for a in range(0, len(near), step):
+            ids, k = near[a : a + step], key[a : a + step]
+            v = self.x[ids]
+            between = self.table(v, v)
+            out_of = ~np.isfinite(k)
+            count = np.zeros(len(ids), np.int64)
+            for c in range(ids.shape[1]):
+                take = np.flatnonzero(~out_of[:, c] & (count < cap))
+                if not len(take):
+                    if (count >= cap).all() or out_of[:, c:].all():
+                        break
+                    continue
+                out[a + take, count[take]] = ids[take, c]
+                count[take] += 1
+                out_of[take, c + 1 :] |= between[take, c, c + 1 :] < k[take, c + 1 :]
+        return out
+
+    def extend(self, x: np.ndarray, level: np.ndarray) -> None:
+        """Inserts rows in order, in batches whose members also see each other."""
+        at = 0
+        while at < len(x):
+            size = min(BATCH, max(16, self.n), len(x) - at)
+            self._insert(x[at : at + size].astype(np.float32), level[at : at + size])
+            at += size
+
+    def _insert(self, q: np.ndarray, level: np.ndarray) -> None:
+        old, old_top, entry = self.n, self.top, self.entry
+        new = np.arange(old, old + len(q))
+        self.x = np.concatenate([self.x, q])
+        self.level = np.concatenate([self.level, level])
+        for layer in range(max(old_top, int(level.max())) + 1):
+            if layer == len(self.links):
+                self.links.append(np.full((old, self.cap(layer)), -1, np.int32))
+            self.links[layer] = np.concatenate([self.links[layer], np.full((len(q), self.cap(layer)), -1, np.int32)])
+        mates = self.table(q, q)
+        mates[np.triu_indices(len(q))] = np.inf  # of the batch, those before
+        ef = self.params.ef_construction
+        starts = np.full((len(q), 1), entry, np.int64)
+        for layer in range(max(old_top, int(level.max())), -1, -1):
+            own = np.flatnonzero(level >= layer)
+            if layer <= old_top:
+                far = np.flatnonzero(level < layer)
+                if len(far):
+                    starts[far, 0] = self.descend(q[far], starts[far, 0], layer)
+            if not len(own):
+                continue
+            if layer > old_top:
+                near, key = np.empty((len(own), 0), np.int64), np.empty((len(own), 0), np.float32)
+            else:
+                near, key = self._candidates(q[own], starts[own], ef, layer, old)
+                if starts.shape[1] < near.shape[1]:
+                    starts = np.concatenate([starts, np.full((len(q), near.shape[1] - starts.shape[1]), -1)], 1)
+                starts[own] = -1
+                starts[own, : near.shape[1]] = near
+            with_mates = np.where(level[None, :] >= layer, mates[own], np.inf)
+            near = np.concatenate([near, np.broadcast_to(new, with_mates.shape)], 1)
+            key = np.concatenate([key, with_mates], 1)
+            near, key = _least(near, key, min(ef, near.shape[1]), ordered=True)
+            self._connect(new[own], self.choose(near, key, self.cap(layer)), layer)
+
+    def _candidates(self, q: np.ndarray, starts: np.ndarray, ef: int, layer: int, present: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ef best present nodes on a layer."""
+        if present > SCAN_ROWS:
+            return self.walk(q, starts, ef, layer)
+        on = np.flatnonzero(self.level[:present] >= layer)
+        key = self.table(q, self.x[on])
+        if len(on) > ef:
+            at = np.argpartition(key, ef - 1, axis=1)[:, :ef]
+            return on[at], np.take_along_axis(key, at, 1)
+        return np.broadcast_to(on, key.shape), key
+
+    def _connect(self, nodes: np.ndarray, chosen: np.ndarray, layer: int) -> None:
+        """Links both ways; a node with more links than the cap chooses among them anew."""
+        links, cap = self.links[layer], self.cap(layer)
+        links[nodes] = chosen
+        i, j = np.nonzero(chosen >= 0)
+        back, of = chosen[i, j].astype(np.int64), nodes[i]
+        order = np.argsort(back, kind="stable")
+        back, of = back[order], of[order]
+        hosts, first, n = np.unique(back, return_index=True, return_counts=True)
+        if not len(hosts):
+            return
+        wide = np.full((len(hosts), int(n.max())), -1, np.int64)
+        wide[np.repeat(np.arange(len(hosts)), n), np.arange(len(back)) - np.repeat(first, n)] = of
+        every = np.concatenate([links[hosts], wide], 1)
+        count = (every >= 0).sum(1)
+        order = np.argsort(every < 0, axis=1, kind="stable")
+        every = np.take_along_axis(every, order, 1)
+        fits = count <= cap
+        links[hosts[fits]] = every[fits][:, :cap]
+        if not fits.all():
+            h, e = hosts[~fits], every[~fits][:, : int(count.max())]
+            key = self.keys(np.repeat(self.x[h], e.shape[1], axis=0), e.ravel()).reshape(e.shape)
+            key[e < 0] = np.inf
+            e, key = _least(e, key, e.shape[1], ordered=True)
+            links[h] = self.choose(e, key, cap)
+
+    # -- searching
+    def search(self, q: np.ndarray, k: int, ef: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, keys), queries x k, padded with -1 and inf."""
+        k = min(k, self.n)
+        if not k:
+            return np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.float32)
+        ef = min(max(ef, k), self.n)
+        out = []
+        step = max(1, min(BATCH, (64 << 20) // self.n))
+        for a in range(0, len(q), step):
+            y = q[a : a + step]
+            at = np.full(len(y), self.entry, np.int64)
+            for layer in range(self.top, 0, -1):
+                at = self.descend(y, at, layer)
+            out.append([v[:, :k] for v in self.walk(y, at[:, None], ef, 0, keep)])
+        return np.concatenate([n for n, _ in out]), np.concatenate([v for _, v in out])
+
+    def traced(self, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, list[tuple[int, int, float]], list[tuple[int, float]]]:
+        """(nodes, hops, evaluated): the end point of the descent on each upper layer from the
+        top on, and every node evaluated on the bottom layer in its order, with keys."""
+        import heapq
+
+        at, hops = np.array([self.entry]), []
+        for layer in range(self.top, 0, -1):
+            at = self.descend(q[None], at, layer)
+            hops.append((layer, int(at[0]), float(self.keys(q, at)[0])))
+        key = float(self.keys(q, at)[0])
+        seen = np.zeros(self.n, bool)
+        seen[at] = True
+        todo, found, order = [(key, int(at[0]))], [(-key, -int(at[0]))], [(int(at[0]), key)]
         while todo:
             key, node = heapq.heappop(todo)
             if len(found) >= ef and key > -found[0][0]:
                 break
-            near = np.array(self.links[node][layer] if layer < len(self.links[node]) else [], np.int64)
-            near = near[~seen[near]] if len(near) else near
-            if not len(near):
-                continue
+            near = self.neighbours(node, 0)
+            near = near[~seen[near]]
             seen[near] = True
-            ks = self.keys(q, near)
-            if trail is not None:
-                trail.extend(zip(near.tolist(), ks.tolist()))
-            worst = -found[0][0] if len(found) >= ef else math.inf
-            for i in np.flatnonzero(ks < worst) if len(found) >= ef else range(len(near)):
-                k, v = float(ks[i]), int(near[i])
-                if len(found) < ef or k < -found[0][0]:
-                    heapq.heappush(todo, (k, v))
-                    if keep is None or keep[v]:
-                        heapq.heappush(found, (-k, -v))
-                        if len(found) > ef:
-                            heapq.heappop(found)
-        return sorted((-k, -v) for k, v in found)
-
-    def choose(self, near: list[tuple[float, int]], cap: int) -> list[int]:
-        """Spread-out neighbours: one is kept if it is no nearer to a kept one than to the node."""
-        kept: list[int] = []
-        for key, v in near:
-            if len(kept) >= cap:
-                break
-            if not kept or not (self.keys(self.x[v], kept) < key).any():
-                kept.append(v)
-        return kept
-
-    def insert(self, v: int) -> None:
-        level = int(self.level[v])
-        self.links[v] = [[] for _ in range(level + 1)]
-        if self.entry < 0:
-            self.entry, self.top = v, level
-            return
-        q, at = self.x[v], self.entry
-        key = float(self.keys(q, [at])[0])
-        for layer in range(self.top, level, -1):
-            at, key = self.descend(q, at, key, layer)
-        for layer in range(min(level, self.top), -1, -1):
-            near = [(k, u) for k, u in self.beam(q, at, self.params.ef_construction, layer) if u != v]
-            if not near:
-                continue
-            at = near[0][1]
-            cap = self.params.m_max0 if layer == 0 else self.params.m
-            self.links[v][layer] = self.choose(near, self.params.m)
-            for u in self.links[v][layer]:
-                back = self.links[u][layer]
-                back.append(v)
-                if len(back) > cap:
-                    ks = self.keys(self.x[u], back)
-                    self.links[u][layer] = self.choose(sorted(zip(ks.tolist(), back)), cap)
-        if level > self.top:
-            self.entry, self.top = v, level
-
-    def search(self, q: np.ndarray, k: int, ef: int, keep: np.ndarray | None = None, trail: list | None = None) -> list[tuple[float, int]]:
-        if self.entry < 0 or k == 0:
-            return []
-        at = self.entry
-        key = float(self.keys(q, [at])[0])
-        if trail is not None and self.top > 0:
-            trail.append((self.top, at, key))
-        for layer in range(self.top, 0, -1):
-            before = at
-            at, key = self.descend(q, at, key, layer)
-            if trail is not None and at != before:
-                trail.append((layer, at, key))
-        bottom: list | None = None if trail is None else []
-        out = self.beam(q, at, max(ef, k), 0, keep, bottom)[:k]
-        if trail is not None:
-            trail.append(bottom)
-        return out
+            for v, c in zip(near.tolist(), self.keys(q, near).tolist()):
+                order.append((v, c))
+                if len(found) < ef or c < -found[0][0]:
+                    heapq.heappush(todo, (c, v))
+                    heapq.heappush(found, (-c, -v))
+                    if len(found) > ef:
+                        heapq.heappop(found)
+        return np.array([v for _, v in sorted((-c, -v) for c, v in found)][:k], np.int64), hops, order
+
+    # -- packing
+    def to_bytes(self) -> dict[str, bytes]:
+        """links: of every layer, the nodes on it take part with their whole padded rows."""
+        parts = [self.links[layer][self.level >= layer].astype("<i4").tobytes() for layer in range(self.top + 1)]
+        return {"x": self.x.astype("<f4").tobytes(), "level": self.level.astype("<i2").tobytes(), "links": b"".join(parts)}
 
-
-def _load(d: pd.DataFrame, dim: int, metric: Metric, params: HnswParams) -> tuple[Graph, np.ndarray]:
-    d = d.sort_values("vec_id")
-    ids = d["vec_id"].to_numpy(np.int64)
-    g = Graph(to_matrix(d["embedding"], dim), metric, params)
-    at = {int(v): i for i, v in enumerate(ids)}
-    g.level = d["level"].fillna(-1).to_numpy(np.int64)
-    for i, links in enumerate(d["links"]):
-        if links is not None:
-            g.links[i] = [[at[int(u)] for u in layer] for layer in links]
-    entry = np.flatnonzero([e is True or e is np.True_ for e in d["entry"]])
-    if len(entry):
-        g.entry, g.top = int(entry[0]), int(g.level[entry[0]])
-    return g, ids
-
-
-def _builder(dim: int, metric: Metric, params: HnswParams):
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        g, ids = _load(d, dim, metric, params)
-        shard = int(d["shard"].iloc[0])
-        fresh = np.flatnonzero(g.level < 0)
-        g.level[fresh] = levels(params.seed + shard, len(ids) - len(fresh), len(fresh), params.m)
-        for v in fresh:
-            g.insert(int(v))
-        return pd.DataFrame({
-            "shard": shard, "vec_id": ids, "level": g.level.astype(np.int32), "entry": np.arange(len(ids)) == g.entry, "embedding": list(g.x),
-            "links": [[ids[layer].tolist() for layer in node] for node in g.links],
-        })
-
-    return run
-
-
-def _searcher(ids: np.ndarray, q: np.ndarray, k: int, beam: int, dim: int, metric: Metric, params: HnswParams, filtered: bool, trace: int | None):
-    """Searches one shard's graph for a block of queries."""
-
-    def run(d: pd.DataFrame) -> pd.DataFrame:
-        d = d.sort_values("vec_id")
-        g, names = _load(d, dim, metric, params)
-        keep = d["keep"].to_numpy(bool) if filtered else None
-        shard, rows = int(d["shard"].iloc[0]), []
-        for qid, v in zip(ids.tolist(), q):
-            trail: list | None = None if trace is None else []
-            found = g.search(v, k, beam, keep, trail)
-            at = np.array([u for _, u in found], np.int64)
-            exact = exact_keys(np.broadcast_to(v, (len(at), dim)), g.x[at], metric)  # the walk is in single precision
-            rows += [(qid, "result", shard, i + 1, 0, int(names[u]), float(key)) for i, (u, key) in enumerate(zip(at, exact))]
-            if trail:
-                bottom = trail.pop()
-                steps = [*trail, *((0, *bottom[i]) for i in even_positions(len(bottom), trace))]
-                rows += [(qid, "trace", shard, i, layer, int(names[u]), key) for i, (layer, u, key) in enumerate(steps)]
-                rows.append((qid, "visited", shard, len(bottom), 0, -1, 0.0))
-        return pd.DataFrame(rows, columns=["query_id", "kind", "shard", "step", "layer", "vec_id", "key"])
-
-    return run
+    @classmethod
+    def of(cls, row, dim: int, metric: Metric, params: HnswParams) -> Graph:
+        g = cls(dim, metric, params)
+        g.x = np.frombuffer(row["x"], "<f4").reshape(-1, dim)
+        g.level = np.frombuffer(row["level"], "<i2").astype(np.int64)
+        flat, at, g.links = np.frombuffer(row["links"], "<i4"), 0, []
+        for layer in range(max(g.top, 0) + 1):
+            on, cap = g.level >= layer, g.cap(layer)
+            full = np.full((g.n, cap), -1, np.int32)
+            full[on] = flat[at : at + int(on.sum()) * cap].reshape(-1, cap)
+            at += int(on.sum()) * cap
+            g.links.append(full)
+        return g
+
+
+def _pad(r: np.ndarray, new: np.ndarray, k: np.ndarray, rows: int, live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by ascending row as matrices over the live rows, padded with -1 and inf."""
+    n = np.bincount(r, minlength=rows)
+    start = np.cumsum(n) - n
+    place = np.empty(rows, np.int64)
+    place[live] = np.arange(len(live))
+    ids, keys = np.full((len(live), int(n.max(initial=0))), -1, np.int64), np.full((len(live), int(n.max(initial=0))), np.inf, np.float32)
+    at = np.arange(len(r)) - start[r]
+    ids[place[r], at], keys[place[r], at] = new, k
+    return ids, keys
+
+
+def _least(ids: np.ndarray, keys: np.ndarray, n: int, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The n entries of least key of every row."""
+    if keys.shape[1] > n:
+        at = np.argpartition(keys, n - 1, axis=1)[:, :n]
+        ids, keys = np.take_along_axis(ids, at, 1), np.take_along_axis(keys, at, 1)
+    if ordered:
+        at = np.argsort(keys, axis=1, kind="stable")
+        ids, keys = np.take_along_axis(ids, at, 1), np.take_along_axis(keys, at, 1)
+    return ids, keys
+
+
+def centres_of(x: np.ndarray, n: int, rng: np.random.Generator, passes: int = 8) -> np.ndarray:
+    """About ``n`` k-means centres of a sample; many are found in two levels."""
+    n = min(n, len(x))
+    groups = n if n <= 256 else math.ceil(math.sqrt(n))
+    c = x[rng.permutation(len(x))[:groups]].astype(np.float32)
+    for _ in range(passes):
+        near = nearest_centres(x, c, 1)[:, 0]
+        counts = np.bincount(near, minlength=len(c))
+        sums = np.zeros(c.shape)
+        np.add.at(sums, near, x)
+        c = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], c).astype(np.float32)
+    if groups == n:
+        return c
+    near = nearest_centres(x, c, 1)[:, 0]
+    return np.concatenate([centres_of(x[near == g], max(1, round(n * (near == g).sum() / len(x))), rng, passes) for g in range(len(c)) if (near == g).any()])
+
+
+def nearest_centres(x: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """rows x n: the nearest centres, ascending."""
+    out = []
+    half = (c * c).sum(1) / 2
+    for a in range(0, len(x), 4096):
+        d = half - x[a : a + 4096] @ c.T
+        at = np.argpartition(d, n - 1, axis=1)[:, :n] if n < len(c) else np.broadcast_to(np.arange(len(c)), d.shape)
+        out.append(np.take_along_axis(at, np.argsort(np.take_along_axis(d, at, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out) if out else np.empty((0, n), np.int64)
 
 
 class HnswIndex:
     """Graphs over (vec_id, embedding). The graph table is lazy; stage or save it to build once."""
 
-    def __init__(self, dim: int, metric: Metric = Metric.INNER_PRODUCT, params: HnswParams | None = None, shards: int = 1):
-        if shards < 1:
-            raise ValueError("shards must be at least 1")
-        self.dim, self.metric, self.params, self.shards = check_dim(dim), Metric.of(metric), params or HnswParams(), shards
+    def __init__(self, dim: int, metric: Metric = Metric.INNER_PRODUCT, params: HnswParams | None = None, shards: int | None = None, probes: int | None = None, shard_rows: int = SHARD_ROWS):
+        """``shards``: by default as many as keep a shard at about ``shard_rows`` vectors.
+        ``probes``: the centres whose shards a query visits, by default 8 and one more
+        for every doubling of the centres, or all where there are fewer."""
+        if shards is not None and shards < 1 or probes is not None and probes < 1 or shard_rows < 1:
+            raise ValueError("shards, probes and shard_rows must be at least 1")
+        self.dim, self.metric, self.params = check_dim(dim), Metric.of(metric), params or HnswParams()
+        self.shards, self.probes, self.shard_rows = shards, probes, shard_rows
+        self.centres: np.ndarray | None = None
+        self.parts: np.ndarray | None = None  # shards of each centre
         self.graph: DataFrame | None = None
 
     @staticmethod
@@ -259,19 +452,94 @@ class HnswIndex:
         params = replace(self.params, ef_search=max(1, ef))
         self.params = params
 
+    # -- building
+    def _route(self):
+        """x -> the matrix that centres are compared in: directions for inner products."""
+        if self.metric is Metric.L2:
+            return lambda x: x
+        return lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+    def _learn(self, fresh: DataFrame) -> None:
+        """Centres from a bounded sample, and into how many shards each is cut.
+
+        A centre may attract a third of all rows; it then has several shards, all of
+        which its queries visit, so no task grows with the hottest centre.
+        """
+        rows = fresh.count()
+        shards = self.shards or self.shards_for(rows, self.shard_rows)
+        if shards == 1:
+            self.shards, self.centres, self.parts = 1, np.zeros((1, self.dim), np.float32), np.ones(1, np.int64)
+            return
+        n = min(shards, MOST_CENTRES)
+        got = fresh.orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(CENTRE_SAMPLE, 256 * n)).select("x").collect()  # bounded: CENTRE_SAMPLE rows
+        way = self._route()
+        sample = way(to_matrix([bytes(r[0]) for r in got], self.dim))
+        self.centres = centres_of(sample, n, np.random.default_rng(self.params.seed))
+        counts = {r["centre"]: r["n"] for r in self._dealt(fresh).groupBy("centre").agg(F.count("*").alias("n")).collect()}  # one row a centre
+        self.parts = np.array([max(1, round(counts.get(i, 0) / self.shard_rows)) if rows > shards * self.shard_rows // 2 else 1 for i in range(len(self.centres))], np.int64)
+        self.shards = int(self.parts.sum())
+
+    def _dealt(self, fresh: DataFrame) -> DataFrame:
+        centres, way, dim = self.centres, self._route(), self.dim
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in batches:
+                yield d.assign(centre=nearest_centres(way(to_matrix(d["x"], dim)), centres, 1)[:, 0].astype(np.int32) if len(d) else np.empty(0, np.int32))
+
+        return fresh.mapInPandas(run, "vec_id long, x binary, centre int")
+
     def add(self, vectors: DataFrame) -> HnswIndex:
         """Inserts (vec_id, embedding) in vec_id order after what is there.
 
-        ids must be new. Every shard with new rows is read, extended and written anew.
+        ids must be new. Shards with new rows are extended, the others stay as they are.
+        An empty table leaves the index without a vector.
         """
-        fresh = vectors.select(
-            F.pmod(F.xxhash64("vec_id"), F.lit(self.shards)).cast("int").alias("shard"), F.col("vec_id").cast("long").alias("vec_id"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("boolean").alias("entry"),
-            F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("array<array<bigint>>").alias("links"),
-        )
-        rows = fresh if self.graph is None else self.graph.unionByName(fresh)
-        self.graph = rows.groupBy("shard").applyInPandas(_builder(self.dim, self.metric, self.params), GRAPH)
+        dim, metric, params = self.dim, self.metric, self.params
+        fresh = packed(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")), "vec_id", "embedding", dim, "vectors")
+        if self.centres is None:
+            self._learn(fresh)
+        first = np.cumsum(self.parts) - self.parts
+        place = F.col("centre")
+        if self.parts.max() > 1 or len(self.parts) > 1:
+            starts, counts = (F.array(*[F.lit(int(v)) for v in a]) for a in (first, self.parts)) if len(self.parts) <= 256 else (None, None)
+            if starts is not None:
+                place = F.get(starts, F.col("centre")) + F.pmod(F.xxhash64("vec_id"), F.get(counts, F.col("centre")))
+            else:
+                table = fresh.sparkSession.createDataFrame(pd.DataFrame({"centre": np.arange(len(first)), "_f": first, "_n": self.parts}), "centre int, _f int, _n int")
+                place = None
+        dealt = self._dealt(fresh)
+        if place is None:
+            dealt = dealt.join(F.broadcast(table), "centre")  # one row a centre, at most MOST_CENTRES
+            place = F.col("_f") + F.pmod(F.xxhash64("vec_id"), F.col("_n"))
+        dealt = dealt.select(place.cast("int").alias("shard"), "centre", "vec_id", "x")
+
+        def grown(d: pd.DataFrame, row) -> pd.DataFrame:
+            g = Graph.of(row, dim, metric, params) if row is not None else Graph(dim, metric, params)
+            ids = np.frombuffer(row["ids"], np.int64) if row is not None else np.empty(0, np.int64)
+            d = d.sort_values("vec_id")
+            shard = int(d["shard"].iloc[0])
+            x = to_matrix(d["x"], dim)
+            g.extend(x, levels(params.seed + shard, len(ids), len(x), params.m))
+            ids = np.concatenate([ids, d["vec_id"].to_numpy(np.int64)])
+            return pd.DataFrame([{"shard": shard, "centre": int(d["centre"].iloc[0]), "n": len(ids), "ids": ids.tobytes(), **g.to_bytes()}])
+
+        if self.graph is None:
+            self.graph = dealt.groupBy("shard").applyInPandas(lambda d: grown(d, None), GRAPH)
+        else:
+
+            def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+                row = left.iloc[0] if len(left) else None
+                return grown(right, row) if len(right) else left
+
+            self.graph = self.graph.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(both, GRAPH)
         return self
 
+    def add_array(self, spark: SparkSession, x: np.ndarray) -> HnswIndex:
+        """Appends matrix rows under the next positions as ids."""
+        x = check_array(x, self.dim)
+        start = self.size
+        return self.add(spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(start, start + len(x)), "embedding": [v.tolist() for v in x]}), "vec_id long, embedding array<float>"))
+
     def staged(self) -> HnswIndex:
         """Builds now, into the session's shared folder."""
         from ..session import stage
@@ -285,34 +553,72 @@ class HnswIndex:
         return self.graph
 
     # -- searching
-    def _run(self, queries: DataFrame, k: int, ef: int | None, where: Column | None, mask: DataFrame | None, trace: int | None) -> DataFrame | None:
+    def _dealt_queries(self, queries: DataFrame) -> DataFrame:
+        """(shard, qids, qs): the queries of every shard in packed blocks of at most QUERY_BLOCK."""
+        dim, way, centres, parts = self.dim, self._route(), self.centres, self.parts
+        first = np.cumsum(parts) - parts
+        probes = min(len(centres), self.probes or 8 + math.ceil(math.log2(len(centres))))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in batches:
+                ids, q = d["query_id"].to_numpy(np.int64), to_matrix(d["query"], dim, "queries")
+                c = nearest_centres(way(q), centres, probes).ravel()
+                row = np.repeat(np.arange(len(q)), probes)
+                many = parts[c]
+                row, shard = np.repeat(row, many), np.repeat(first[c], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                order = np.argsort(shard, kind="stable")
+                row, shard = row[order], shard[order]
+                cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.empty(0, np.int64)
+                for own in np.split(np.arange(len(shard)), cuts[1:]) if len(cuts) else ():
+                    for a in range(0, len(own), QUERY_BLOCK):
+                        o = own[a : a + QUERY_BLOCK]
+                        yield pd.DataFrame({"shard": [int(shard[o[0]])], "qids": [ids[row[o]].tobytes()], "qs": [q[row[o]].tobytes()]})
+
+        return queries.select("query_id", "query").mapInPandas(run, "shard int, qids binary, qs binary")
+
+    def _run(self, queries: DataFrame, k: int, ef: int | None, where: Column | None, mask: DataFrame | Sequence[bool] | None, trace: int | None, absent: str = "error") -> DataFrame:
         dim, metric, params = self.dim, self.metric, self.params
         beam = max(ef if ef is not None else params.ef_search, k)
         graph = self._built()
-        if where is not None:
-            graph = graph.withColumn("keep", F.coalesce(where, F.lit(False)))
-        if mask is not None:
-            ok = mask.where(F.col("keep")).select("vec_id").distinct().withColumn("_ok", F.lit(True))
-            both = F.col("_ok").isNotNull() if where is None else F.col("_ok").isNotNull() & F.col("keep")
-            graph = graph.join(ok, "vec_id", "left").withColumn("keep", both).drop("_ok")
         filtered = where is not None or mask is not None
-        out = None
-        for ids, q in query_blocks(queries, dim):
-            part = graph.groupBy("shard").applyInPandas(_searcher(ids, q, k, beam, dim, metric, params, filtered, trace), RAW)
-            out = part if out is None else out.unionByName(part)
-        return out
-
-    def search(self, queries: DataFrame, k: int = 10, ef: int | None = None, where: Column | None = None, mask: DataFrame | None = None, padded: bool = False) -> DataFrame:
-        """(query_id, rank, vec_id, score). A predicate or mask acts inside the walk of the bottom layer."""
-        raw = self._run(queries, k, ef, where, mask, None) if check_k(k) else None
+        if filtered:
+            kept = masked(self.nodes(), where, mask, absent).groupBy("shard").agg(F.collect_list("vec_id").alias("kept"))  # at most a shard's rows
+            graph = graph.join(kept, "shard")
+        q = self._dealt_queries(queries)
+        if len(self.parts) > 1:
+            from ..session import stage
+
+            q = stage(q, "asked")  # its size is wanted before it is joined
+            size = q.agg(F.sum(F.octet_length("qs") + F.octet_length("qids"))).first()[0] or 0
+        else:
+            size = queries.count() * (4 * dim + 8)
+        # blocks of one shard come one after the other, so its graph is opened once a partition
+        rows = graph.join(F.broadcast(q) if size <= BROADCAST_BYTES else q, "shard")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, g, names, keep = None, None, None, None
+            for d in batches:
+                for i in range(len(d)):
+                    row = d.iloc[i]
+                    if held != row["shard"]:
+                        held, g, names = row["shard"], Graph.of(row, dim, metric, params), np.frombuffer(row["ids"], np.int64)
+                        keep = np.isin(names, np.asarray(row["kept"], np.int64)) if filtered else None
+                    yield _answers(g, names, int(held), np.frombuffer(row["qids"], np.int64), np.frombuffer(row["qs"], np.float32).reshape(-1, dim), k, beam, keep, trace)
+
+        return rows.mapInPandas(run, RAW)
+
+    def search(self, queries: DataFrame, k: int = 10, ef: int | None = None, where: Column | None = None, mask: DataFrame | Sequence[bool] | None = None, padded: bool = False, absent: str = "error") -> DataFrame:
+        """(query_id, rank, vec_id, score). A predicate (over vec_id, level, embedding) or a mask
+        (see blocks.masked) acts inside the walk of the bottom layer."""
+        raw = self._run(queries, k, ef, where, mask, None, absent) if check_k(k) else None
         found = best(raw.select("query_id", "vec_id", "key"), k, self.metric) if raw is not None else queries.sparkSession.createDataFrame([], RESULT)
         return pad(found, queries, k, self.metric) if padded else found
 
     def search_traced(self, queries: DataFrame, k: int = 10, max_trace: int = 40, ef: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(results, trace, visited): results unpadded; trace(query_id, shard, step,
-        layer, vec_id, score) with all upper-layer hops and at most ``max_trace``
-        evenly spread evaluations of the bottom layer; visited(query_id,
-        total_visited) counts all bottom-layer evaluations. k 0 gives no rows."""
+        layer, vec_id, score) with one step for each upper layer, the end of its descent,
+        and at most ``max_trace`` evenly spread evaluations of the bottom layer;
+        visited(query_id, total_visited) counts all bottom-layer evaluations. k 0 gives no rows."""
         from ..functions.vectors import natural
         from ..session import stage
 
@@ -326,53 +632,104 @@ class HnswIndex:
 
     # -- introspection
     def nodes(self) -> DataFrame:
-        return self._built().select("shard", "vec_id", "level", "embedding")
+        """(shard, vec_id, level, embedding)."""
+        dim = self.dim
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in batches:
+                for r in d.to_dict("records"):
+                    x = np.frombuffer(r["x"], "<f4").reshape(-1, dim)
+                    yield pd.DataFrame({"shard": r["shard"], "vec_id": np.frombuffer(r["ids"], np.int64), "level": np.frombuffer(r["level"], "<i2").astype(np.int32), "embedding": list(x)})
+
+        return self._built().mapInPandas(run, "shard int, vec_id long, level int, embedding array<float>")
 
     def edges(self) -> DataFrame:
-        return self._built().select("shard", "vec_id", "level", F.posexplode("links").alias("layer", "neighbors"))
+        """(shard, vec_id, level, layer, neighbors) of every node and layer."""
+        dim, metric, params = self.dim, self.metric, self.params
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in batches:
+                for r in d.to_dict("records"):
+                    g, ids = Graph.of(r, dim, metric, params), np.frombuffer(r["ids"], np.int64)
+                    for layer in range(g.top + 1):
+                        on = np.flatnonzero(g.level >= layer)
+                        yield pd.DataFrame({"shard": r["shard"], "vec_id": ids[on], "level": g.level[on].astype(np.int32), "layer": layer, "neighbors": [ids[g.neighbours(v, layer)].tolist() for v in on]})
+
+        return self._built().mapInPandas(run, "shard int, vec_id long, level int, layer int, neighbors array<bigint>")
 
     def graph_meta(self) -> DataFrame:
-        return self._built().groupBy("shard").agg(F.max(F.when(F.col("entry"), F.col("vec_id"))).alias("entry_point"), F.max("level").alias("max_level"), F.count("*").alias("size"))
+        """(shard, entry_point, max_level, size)."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for d in batches:
+                level = [np.frombuffer(b, "<i2") for b in d["level"]]
+                yield pd.DataFrame({"shard": d["shard"], "entry_point": [int(np.frombuffer(b, np.int64)[v.argmax()]) for b, v in zip(d["ids"], level)], "max_level": [int(v.max()) for v in level], "size": d["n"]})
+
+        return self._built().mapInPandas(run, "shard int, entry_point long, max_level int, size long")
 
     def violations(self) -> DataFrame:
         """One row (rule, n) per structural rule with the number of breaches."""
-        e = self.edges().select("shard", "vec_id", "level", "layer", F.explode("neighbors").alias("to"))
+        own = self.edges()
+        e = own.select("shard", "vec_id", "level", "layer", F.explode("neighbors").alias("to"))
         to = self.nodes().select(F.col("vec_id").alias("to"), F.col("level").alias("to_level"))
-        g = self._built()
-        top = self.graph_meta().join(g.where("entry").select("shard", F.col("level").alias("entry_level")), "shard", "left")
+        top = self.graph_meta().join(self.nodes().select("shard", F.col("vec_id").alias("entry_point"), F.col("level").alias("entry_level")), ["shard", "entry_point"], "left")
         cap = F.when(F.col("layer") == 0, self.params.m_max0).otherwise(self.params.m)
         n = lambda df, rule: df.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
         return (
             n(e.where("vec_id = to"), "no self-loops")
-            .unionByName(n(g.where(F.size("links") > F.col("level") + 1), "layers within the node's level"))
+            .unionByName(n(own.where("layer > level"), "layers within the node's level"))
             .unionByName(n(e.join(to, "to").where("layer > to_level"), "links within the target's level"))
-            .unionByName(n(self.edges().where(F.size("neighbors") > cap), "links within the cap"))
+            .unionByName(n(own.where(F.size("neighbors") > cap), "links within the cap"))
             .unionByName(n(top.where("coalesce(entry_level, -1) < max_level"), "entry on the top level"))
         )
 
     @property
     def size(self) -> int:
-        return 0 if self.graph is None else self.graph.count()
+        return 0 if self.graph is None else int(self.graph.agg(F.sum("n")).first()[0] or 0)
 
     def __len__(self) -> int:
         return self.size
 
     @property
     def memory_bytes(self) -> int:
-        r = self._built().agg(F.count("*").alias("n"), F.sum(F.aggregate("links", F.lit(0), lambda a, x: a + F.size(x))).alias("e")).first()
-        return r["n"] * self.dim * 4 + (r["e"] or 0) * 4
+        """Vectors and the room of all links, four bytes each."""
+        r = self._built().agg(F.sum(F.octet_length("x").cast("long")), F.sum(F.octet_length("links").cast("long"))).first()
+        return int((r[0] or 0) + (r[1] or 0))
 
     # -- persistence
     def save(self, path: str) -> None:
-        """Writes the graph, partitioned by shard."""
+        """Writes the graphs, one row a shard, and the centres."""
         g = self._built()
-        g.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/graph")
-        storage.write_json(g.sparkSession, f"{path}/index.json", json.dumps({"kind": "hnsw", "dim": self.dim, "metric": self.metric.value, "shards": self.shards, **asdict(self.params)}))
+        g.write.mode("overwrite").parquet(f"{path}/graph")
+        spark = g.sparkSession
+        rows = [(i, [float(v) for v in c], int(n)) for i, (c, n) in enumerate(zip(self.centres, self.parts))]
+        spark.createDataFrame(rows, "centre int, x array<float>, shards int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+        storage.write_json(spark, f"{path}/index.json", json.dumps({"kind": "hnsw", "dim": self.dim, "metric": self.metric.value, "shards": self.shards, "probes": self.probes, "shard_rows": self.shard_rows, **asdict(self.params)}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HnswIndex:
         meta = storage.read_index(spark, path, "hnsw")
-        index = cls(meta["dim"], Metric.of(meta["metric"]), HnswParams(meta["m"], meta["ef_construction"], meta["ef_search"], meta["seed"]), meta["shards"])
-        g = spark.read.parquet(f"{path}/graph")
-        index.graph = g.select("shard", "vec_id", "level", "entry", "embedding", "links")
+        index = cls(meta["dim"], Metric.of(meta["metric"]), HnswParams(meta["m"], meta["ef_construction"], meta["ef_search"], meta["seed"]), meta["shards"], meta["probes"], meta["shard_rows"])
+        rows = spark.read.parquet(f"{path}/centres").orderBy("centre").collect()  # one row a centre
+        index.centres, index.parts = np.array([r["x"] for r in rows], np.float32), np.array([r["shards"] for r in rows], np.int64)
+        index.graph = spark.read.schema(GRAPH).parquet(f"{path}/graph")
         return index
+
+
+def _answers(g: Graph, names: np.ndarray, shard: int, qids: np.ndarray, q: np.ndarray, k: int, beam: int, keep: np.ndarray | None, trace: int | None) -> pd.DataFrame:
+    """RAW rows of one shard for a block of queries."""
+    if trace is None:
+        nodes, _ = g.search(q, k, beam, keep)
+        i, j = np.nonzero(nodes >= 0)
+        at = nodes[i, j]
+        key = exact_keys(q[i], g.x[at], g.metric)  # the walk is in single precision
+        return pd.DataFrame({"query_id": qids[i], "kind": "result", "shard": shard, "step": (j + 1).astype(np.int32), "layer": 0, "vec_id": names[at], "key": key})
+    rows = []
+    for qid, v in zip(qids.tolist(), q):
+        at, hops, order = g.traced(v, k, beam)
+        key = exact_keys(np.broadcast_to(v, (len(at), len(v))), g.x[at], g.metric)
+        rows += [(qid, "result", shard, i + 1, 0, int(names[u]), float(c)) for i, (u, c) in enumerate(zip(at, key))]
+        steps = [*hops, *((0, *order[i]) for i in even_positions(len(order), trace))]
+        rows += [(qid, "trace", shard, i, layer, int(names[u]), c) for i, (layer, u, c) in enumerate(steps)]
+        rows.append((qid, "visited", shard, len(order), 0, -1, 0.0))
+    return pd.DataFrame(rows, columns=["query_id", "kind", "shard", "step", "layer", "vec_id", "key"])
