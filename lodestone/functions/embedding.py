@@ -41,6 +41,45 @@ class HashingEmbedder:
         return np.divide(out, n, out=out, where=n > 0)
 
 
+# Fixed value: the model where a corpus names none.
+DEFAULT_MODEL = "sentence-transformers/all-MiniLM-L6-v2"
+
+
+class ModelEmbedder:
+    """A sentence model by name, loaded where it is first used: on the driver, and once in
+    each Python worker, to which only the name travels. Needs the package sentence_transformers."""
+
+    def __init__(self, model: str = DEFAULT_MODEL, device: str | None = None, batch_size: int = 256):
+        self.model_name, self.device, self.batch_size = model, device, batch_size
+        self._model = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_model": None}
+
+    @property
+    def model(self):
+        if self._model is None:
+            from sentence_transformers import SentenceTransformer
+
+            self._model = SentenceTransformer(self.model_name, device=self.device)
+        return self._model
+
+    @property
+    def dim(self) -> int:
+        return int(self.model.get_sentence_embedding_dimension())
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        if not len(texts):
+            return np.zeros((0, self.dim), np.float32)
+        return np.asarray(self.model.encode(list(texts), batch_size=self.batch_size, normalize_embeddings=True, show_progress_bar=False), np.float32)
+
+
+def embedder_for(model: str | None) -> Embedder:
+    """The embedder of a manifest's model name: hashing-D is the stand-in of D dimensions."""
+    kind, _, dim = (model or DEFAULT_MODEL).partition("-")
+    return HashingEmbedder(int(dim)) if kind == "hashing" and dim.isdigit() else ModelEmbedder(model or DEFAULT_MODEL)
+
+
 def encode_one(embedder: Embedder, text: str) -> np.ndarray:
     return embedder.encode([text])[0]
 

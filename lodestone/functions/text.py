@@ -43,12 +43,12 @@ def trim_snippet(text: Column, max_chars: int = 500, already_cut: bool | Column
     m = max(max_chars, 0)
     cut_before = F.lit(already_cut) if isinstance(already_cut, bool) else already_cut
     whole = (F.length(text) < m) | ((F.length(text) == m) & ~cut_before)
-    cut = F.regexp_replace(F.substring(text, 1, m), SPACE + "+$", "") if m else F.substring(text, 1, 0)
+    cut = F.regexp_replace(F.substring(text, 1, m), SPACE + r"+\z", "") if m else F.substring(text, 1, 0)
     last = F.substring(cut, -1, 1)
     clean = (F.length(cut) == 0) | last.isin(*SENTENCE_ENDS)
     back = F.length(cut) - F.locate(" ", F.reverse(cut))  # 0-based place of the last blank
     at_word = F.when(~last.isin(*SOFT_ENDS) & (F.locate(" ", cut) > 0) & (back > 0.6 * m), cut.substr(F.lit(1), back)).otherwise(cut)
-    bare = F.regexp_replace(at_word, "[ ,;:]+$", "")
+    bare = F.regexp_replace(at_word, r"[ ,;:]+\z", "")
     short = F.when(F.length(bare) > m - 1, bare.substr(F.lit(1), F.lit(max(m - 1, 0)))).otherwise(bare)
     return F.when(whole, text).when(clean, cut).otherwise(F.concat(short, F.lit("…")))
 

@@ -7,12 +7,12 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embedding import Embedder
+from ..functions.embedding import Embedder, embedder_for
 from ..functions.text import radius_norm, trim_snippet
 from ..operators import storage
 from ..operators.exact import ExactIndex
 from ..operators.hnsw import HnswIndex
-from ..sources.corpus import load_corpus
+from ..sources.corpus import load_corpus, load_metadata
 from ..types import Metric
 
 #: Results that are broadcast to the documents in a lookup: at most this many rows,
@@ -40,16 +40,24 @@ class SemanticSearch:
         self.index, self.docs, self.embedder, self.manifest = index, docs, embedder, manifest
 
     @classmethod
-    def from_corpus(cls, spark: SparkSession, path: str, embedder: Embedder, prefer_hnsw: bool = True) -> SemanticSearch:
-        """Serves the corpus's stored graph if there is one, else searches its vectors exactly."""
-        vectors, docs, manifest = load_corpus(spark, path)
+    def from_corpus(cls, spark: SparkSession, path: str, embedder: Embedder | None = None, prefer_hnsw: bool = True) -> SemanticSearch:
+        """Serves the corpus's stored graph if there is one, else searches its vectors exactly.
+
+        With a graph the vectors are not read. The metric is the inner product where the
+        manifest names none, the dimension that of the vectors, the embedder the one of
+        the manifest's model.
+        """
         if prefer_hnsw and storage.exists(spark, f"{path}/hnsw/index.json"):
+            docs, manifest = load_metadata(spark, path)
             index = HnswIndex.load(spark, f"{path}/hnsw")
             if index.size != docs.count():
                 raise ValueError(f"the index holds {index.size} vectors, there are {docs.count()} documents")
         else:
-            index = ExactIndex(manifest["dim"], Metric.of(manifest["metric"]), vectors)
-        return cls(index, docs, embedder, manifest)
+            vectors, docs, manifest = load_corpus(spark, path)
+            one = vectors.first()
+            dim = manifest.get("dim") or 1 if one is None else len(one["embedding"])
+            index = ExactIndex(dim, Metric.of(manifest.get("metric") or Metric.INNER_PRODUCT), vectors)
+        return cls(index, docs, embedder or embedder_for(manifest.get("model")), manifest)
 
     @property
     def already_cut(self) -> bool:
@@ -92,8 +100,8 @@ class SemanticSearch:
     def info(self) -> DataFrame:
         """One row: count, dim, model, metric, index kind, memory in MB."""
         kind = "hnsw" if isinstance(self.index, HnswIndex) else "exact"
-        row = (self.docs.count(), self.index.dim, self.manifest.get("model"), self.index.metric.value, kind, round(self.index.memory_bytes / 1e6, 1))
-        return self.docs.sparkSession.createDataFrame([row], "count long, dim int, model string, metric string, index_kind string, memory_mb double")
+        one = self.docs.sparkSession.createDataFrame([(self.docs.count(), self.index.dim, self.manifest.get("model"), self.index.metric.value, kind, self.index.memory_bytes)], "count long, dim int, model string, metric string, index_kind string, memory_bytes long")
+        return one.select("count", "dim", "model", "metric", "index_kind", F.round(F.col("memory_bytes") / 1e6, 1).alias("memory_mb"))
 
     def warm_up(self, texts: tuple[str, ...] = ("history of science", "music", "mountains", "computers"), times: int = 1) -> int:
         """Runs some searches so that files are cached and code compiled; failures are ignored."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 
@@ -12,8 +13,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import default_url, long_enough, normalize_whitespace, trim_snippet
+from ..functions.vectors import to_matrix
 from ..operators import storage
 from ..types import Metric
+from . import files
 
 DOC = "id long, title string, text string, url string"
 MANIFEST = "count long, dim int, model string, metric string, snippet_chars int, clean_snippets boolean"
@@ -39,8 +42,7 @@ def take_documents(pages: DataFrame, order_by: str, limit: int = 100_000, snippe
     dropped, the first ``limit`` in ``order_by`` order under dense ids, snippets trimmed."""
     url = default_url(F.col("url")) if "url" in pages.columns else F.lit("")
     x = pages.where(long_enough(F.col("text"), min_chars)).select(F.col(order_by).alias("_o"), "title", normalize_whitespace(F.col("text")).alias("text"), url.alias("url"))
-    x = x.orderBy("_o").limit(limit)
-    x = dense_ids(x, "_o")
+    x = dense_ids(x, "_o").where(F.col("id") < limit)  # ranks come from range partitions, so no task takes them all
     return x.select("id", "title", trim_snippet(F.col("text"), snippet_chars).alias("text"), "url")
 
 
@@ -92,9 +94,7 @@ def load_corpus(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, d
     """(vectors, documents, manifest) of a bundle, as tables or as vectors.npy and meta.jsonl."""
     docs, manifest = load_metadata(spark, path)
     vectors = spark.read.parquet(f"{path}/vectors") if storage.exists(spark, f"{path}/vectors") else read_npy(spark, f"{path}/vectors.npy")
-    n, m = vectors.count(), docs.count()
-    if n != m:
-        raise ValueError(f"{n} vectors but {m} documents")
+    _require_same_ids(vectors, docs)
     return vectors, docs, manifest
 
 
@@ -111,35 +111,56 @@ def pick_corpus(spark: SparkSession, candidates: list[str], variable: str = "LOD
     raise OSError(f"no corpus among {candidates}")
 
 
+def _npy_header(path: str) -> tuple[tuple[int, ...], np.dtype, bool, int]:
+    """(shape, type, Fortran order, bytes before the data)."""
+    head = io.BytesIO(files.read(path, 0, 4096))
+    version = np.lib.format.read_magic(head)
+    shape, fortran, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(head)
+    return shape, dtype, fortran, head.tell()
+
+
 def read_npy(spark: SparkSession, path: str, chunk_rows: int = 50_000) -> DataFrame:
-    """(vec_id, embedding) of a two-dimensional float .npy file, ids being row numbers.
+    """(vec_id, embedding) of a two-dimensional float .npy file in row order, ids being row numbers.
 
-    The header is read once; each task maps its own range of rows. The file must
-    be on a file system that all executors see.
+    The header is read once; each task reads its own ranges of rows, from any file
+    system that all executors see.
     """
-    local = path[7:] if path.startswith("file://") else path
-    shape = np.load(local, mmap_mode="r").shape
-    if len(shape) != 2:
-        raise ValueError(f"{path}: expected two dimensions, not {shape}")
+    shape, dtype, fortran, start = _npy_header(path)
+    if len(shape) != 2 or fortran or dtype.kind != "f":
+        raise ValueError(f"{path}: expected two dimensions of floats in row order, not {shape} of {dtype}")
     parts = [(a, min(a + chunk_rows, shape[0])) for a in range(0, shape[0], chunk_rows)]
+    width = shape[1] * dtype.itemsize
 
     def run(batches):
-        x = np.load(local, mmap_mode="r")
         for d in batches:
             for a, b in zip(d["a"], d["b"]):
                 for at in range(a, b, 8192):
-                    y = np.asarray(x[at : min(at + 8192, b)], np.float32)
-                    yield pd.DataFrame({"vec_id": np.arange(at, at + len(y)), "embedding": list(y)})
+                    n = min(at + 8192, b) - at
+                    y = np.frombuffer(files.read(path, start + at * width, n * width), dtype).reshape(n, -1).astype(np.float32)
+                    yield pd.DataFrame({"vec_id": np.arange(at, at + n), "embedding": list(y)})
 
     ranges = spark.createDataFrame(parts or [(0, 0)], "a long, b long").repartition(max(1, len(parts)))
     return ranges.mapInPandas(run, "vec_id long, embedding array<float>")
 
 
 def write_npy(vectors: DataFrame, path: str, dim: int) -> int:
-    """Writes embeddings in vec_id order as one float32 .npy file, streamed through the driver; returns the rows."""
+    """Writes embeddings in vec_id order as one float32 .npy file; returns the rows.
+
+    One file has one writer: packed batches are streamed through the driver, one
+    partition at a time.
+    """
     n = vectors.count()
-    out = np.lib.format.open_memmap(path, mode="w+", dtype=np.float32, shape=(n, dim))
-    for i, r in enumerate(vectors.select("vec_id", "embedding").orderBy("vec_id").toLocalIterator()):
-        out[i] = r["embedding"]
-    out.flush()
+
+    def run(batches):
+        for d in batches:
+            if len(d):
+                yield pd.DataFrame({"x": [to_matrix(d["embedding"], dim).tobytes()]})
+
+    head = io.BytesIO()
+    np.lib.format.write_array_header_1_0(head, {"descr": "<f4", "fortran_order": False, "shape": (n, dim)})
+    f, p = files.resolve(path)
+    with f.open_output_stream(p) as out:
+        out.write(head.getvalue())
+        for r in vectors.select("vec_id", "embedding").orderBy("vec_id").select("embedding").mapInPandas(run, "x binary").toLocalIterator():
+            out.write(bytes(r["x"]))
     return n

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,13 +9,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.vectors import to_matrix
 from ..types import Metric
+from . import files
 
 
 def _read(spark: SparkSession, path: str, kind: str, chunk_rows: int) -> DataFrame:
-    local = path[7:] if path.startswith("file://") else path
-    size = os.path.getsize(local)
-    dim = int(np.fromfile(local, "<i4", 1)[0]) if size else 0
+    size = files.size(path)
+    dim = int(np.frombuffer(files.read(path, 0, 4), "<i4")[0]) if size >= 4 else 0
     if size and (dim < 1 or size % (4 * (dim + 1))):
         raise ValueError(f"{path}: {size} bytes don't hold whole rows of dimension {dim}")
     rows = size // (4 * (dim + 1)) if size else 0
@@ -28,7 +28,7 @@ def _read(spark: SparkSession, path: str, kind: str, chunk_rows: int) -> DataFra
             for a, b in zip(d["a"], d["b"]):
                 for at in range(a, b, 8192):
                     n = min(at + 8192, b) - at
-                    raw = np.fromfile(local, "<i4", n * (dim + 1), offset=4 * (dim + 1) * at).reshape(n, dim + 1)
+                    raw = np.frombuffer(files.read(path, 4 * (dim + 1) * at, 4 * (dim + 1) * n), "<i4").reshape(n, dim + 1)
                     if (raw[:, 0] != dim).any():
                         raise ValueError(f"{path}: rows differ in dimension")
                     yield pd.DataFrame({"vec_id": np.arange(at, at + n), "embedding": list(np.ascontiguousarray(raw[:, 1:]).view(dtype))})
@@ -38,7 +38,7 @@ def _read(spark: SparkSession, path: str, kind: str, chunk_rows: int) -> DataFra
 
 
 def read_fvecs(spark: SparkSession, path: str, chunk_rows: int = 100_000) -> DataFrame:
-    """(vec_id, embedding array<float>); tasks read ranges of rows, the file must be seen by all executors."""
+    """(vec_id, embedding array<float>); tasks read ranges of rows, from any file system that all executors see."""
     return _read(spark, path, "float", chunk_rows)
 
 
@@ -47,11 +47,29 @@ def read_ivecs(spark: SparkSession, path: str, chunk_rows: int = 100_000) -> Dat
     return _read(spark, path, "int", chunk_rows)
 
 
+def write_fvecs(vectors: DataFrame, path: str, dim: int) -> None:
+    """Writes embeddings in vec_id order as one fvecs file: packed batches are streamed through
+    the driver, one partition at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                x = to_matrix(d["embedding"], dim).view("<i4")
+                yield pd.DataFrame({"x": [np.concatenate([np.full((len(x), 1), dim, "<i4"), x], axis=1).tobytes()]})
+
+    f, p = files.resolve(path)
+    with f.open_output_stream(p) as out:
+        for r in vectors.select("vec_id", "embedding").orderBy("vec_id").select("embedding").mapInPandas(run, "x binary").toLocalIterator():
+            out.write(bytes(r["x"]))
+
+
 def write_vecs(path: str, x: np.ndarray) -> None:
     """Writes a matrix as fvecs (floats) or ivecs (integers)."""
     x = np.atleast_2d(x)
     y = x.astype("<f4").view("<i4") if x.dtype.kind == "f" else x.astype("<i4")
-    np.concatenate([np.full((len(y), 1), y.shape[1], "<i4"), y], axis=1).tofile(path)
+    f, p = files.resolve(path)
+    with f.open_output_stream(p) as out:
+        out.write(np.concatenate([np.full((len(y), 1), y.shape[1], "<i4"), y], axis=1).tobytes())
 
 
 @dataclass
@@ -68,9 +86,9 @@ def load_sift(spark: SparkSession, folder: str, prefix: str = "sift") -> AnnData
     """The base, query and ground-truth files of a benchmark folder (learn is optional), in L2."""
     p = lambda part, kind: f"{folder}/{prefix}_{part}.{kind}"
     for f in (p("base", "fvecs"), p("query", "fvecs"), p("groundtruth", "ivecs")):
-        if not os.path.exists(f):
+        if not files.exists(f):
             raise OSError(f"missing {f}")
     learn = p("learn", "fvecs")
     queries = read_fvecs(spark, p("query", "fvecs")).withColumnsRenamed({"vec_id": "query_id", "embedding": "query"})
     truth = read_ivecs(spark, p("groundtruth", "ivecs")).selectExpr("vec_id as query_id", "posexplode(embedding) as (rank, vec_id)").selectExpr("query_id", "rank + 1 as rank", "cast(vec_id as bigint) vec_id")
-    return AnnDataset(read_fvecs(spark, p("base", "fvecs")), queries, truth, Metric.L2, read_fvecs(spark, learn) if os.path.exists(learn) else None, prefix)
+    return AnnDataset(read_fvecs(spark, p("base", "fvecs")), queries, truth, Metric.L2, read_fvecs(spark, learn) if files.exists(learn) else None, prefix)
