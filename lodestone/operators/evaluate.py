@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import copy
 import json
 import os
 import platform
 import subprocess
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -15,6 +16,8 @@ import pyspark
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..types import Metric
+from . import storage
 from .exact import ExactIndex
 
 # The benchmark's repetition counts and seed.
@@ -77,27 +80,35 @@ def percentiles(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.percentile(v, F.lit(0.5)).alias("p50"), F.percentile(v, F.lit(0.99)).alias("p99"), F.avg(v).alias("mean"))
 
 
-def latency(search: Callable[[np.ndarray], object], queries: np.ndarray, samples: int = LATENCY_SAMPLES, seed: int = SAMPLE_SEED) -> dict[str, float]:
-    """p50, p99 and mean milliseconds of single calls on queries drawn with replacement."""
-    if not len(queries):
-        return {"p50_ms": 0.0, "p99_ms": 0.0, "mean_ms": 0.0}
-    t = []
-    for i in np.random.default_rng(seed).integers(len(queries), size=samples):
-        began = time.perf_counter()
-        search(queries[i])
-        t.append((time.perf_counter() - began) * 1000)
-    return {"p50_ms": float(np.percentile(t, 50)), "p99_ms": float(np.percentile(t, 99)), "mean_ms": float(np.mean(t))}
+def timed(spark: SparkSession, run: Callable[[object], object], arguments: Iterable[object]) -> DataFrame:
+    """(call, ms): wall-clock milliseconds of ``run`` on each argument."""
+    marks = [time.perf_counter()]
+    for a in arguments:
+        run(a)
+        marks.append(time.perf_counter())
+    return spark.createDataFrame([(i, float(ms)) for i, ms in enumerate(np.diff(marks) * 1000)], "call int, ms double")
 
 
-def throughput(run: Callable[[], object], nq: int, passes: int = THROUGHPUT_PASSES, warm_up: Callable[[], object] | None = None) -> float:
-    """Queries a second: the median of the passes over the whole batch."""
-    (warm_up or run)()
-    t = []
-    for _ in range(passes):
-        began = time.perf_counter()
-        run()
-        t.append(time.perf_counter() - began)
-    return nq / float(np.median(t)) if nq else 0.0
+def latency(spark: SparkSession, search: Callable[[np.ndarray], object], queries: np.ndarray, samples: int = LATENCY_SAMPLES, seed: int = SAMPLE_SEED) -> DataFrame:
+    """One row p50, p99, mean: milliseconds of single calls on queries drawn with replacement; null without any."""
+    drawn = np.random.default_rng(seed).choice(len(queries), samples) if len(queries) else ()
+    return percentiles(timed(spark, search, (queries[i] for i in drawn)), "ms")
+
+
+def throughput(spark: SparkSession, run: Callable[[], object], nq: int, passes: int = THROUGHPUT_PASSES, warm_up: Callable[[], object] | None = None) -> float:
+    """Queries a second by the median time of the passes over the whole batch."""
+    if warm_up:
+        warm_up()
+    ms = percentiles(timed(spark, lambda _: run(), range(max(1, passes))), "ms").first()["p50"]
+    return 1000 * nq / max(ms, 1e-6)
+
+
+def truth_of(base: DataFrame, queries: DataFrame, metric: Metric, dim: int, k: int, shipped: DataFrame | None = None, cut: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id): the shipped neighbours, or new ones where none are shipped or
+    the base was cut, which takes true neighbours away."""
+    if shipped is None or cut:
+        return ground_truth(ExactIndex(dim, metric, base), queries, k).select("query_id", "rank", "vec_id")
+    return shipped.join(queries.select("query_id"), "query_id", "left_semi").where(F.col("rank") <= k)
 
 
 @dataclass
@@ -117,20 +128,34 @@ class BenchResult:
     build_s: float | None
 
 
-def benchmark(name: str, dataset: str, index, queries: DataFrame, truth: DataFrame, k: int = 10, build_s: float | None = None, passes: int = 3) -> BenchResult:
-    """Recall and batch throughput of an index that has ``search(queries, k)``.
+def one_task(index):
+    """The same index with its table in one partition: what a single thread searches."""
+    one = copy.copy(index)
+    for name in ("vectors", "codes", "graph"):
+        if getattr(one, name, None) is not None:
+            setattr(one, name, getattr(one, name).coalesce(1))
+    return one
+
+
+def benchmark(name: str, dataset: str, index, queries: DataFrame, truth: DataFrame, k: int = 10, build_s: float | None = None, passes: int = THROUGHPUT_PASSES, samples: int = LATENCY_SAMPLES) -> BenchResult:
+    """Recall, latency of single calls and throughput of batches of an index that has ``search(queries, k)``.
 
-    Single-call latency and the one-thread figure stay empty: a Spark job per query
-    measures scheduling, not search.
+    A single call is a Spark job, so its latency holds the scheduling of one.
     """
     from ..session import stage
 
-    nq = queries.count()
+    spark, nq = queries.sparkSession, queries.count()
     found = stage(index.search(queries, k), "bench")
     r = recall(found, truth, queries).first()["recall"]
     few = queries.limit(WARM_UP)
-    qps = throughput(lambda: index.search(queries, k).write.format("noop").mode("overwrite").save(), nq, passes, lambda: index.search(few, k).count())
-    return BenchResult(name, dataset, index.size, index.dim, k, r, None, None, None, None, qps, index.memory_bytes / 1e6, build_s)
+    drain = lambda i, q=queries: i.search(q, k).write.format("noop").mode("overwrite").save()
+    drain(index, few)
+    picks = np.array([x[0] for x in few.select("query").collect()], np.float32)  # WARM_UP rows
+    call = lambda v: drain(index, spark.createDataFrame([(0, v.tolist())], "query_id long, query array<float>"))
+    ms = latency(spark, call, picks, samples).first()
+    single = throughput(spark, lambda: drain(one_task(index)), nq, passes)
+    qps = throughput(spark, lambda: drain(index), nq, passes)
+    return BenchResult(name, dataset, index.size, index.dim, k, r, ms["p50"], ms["p99"], ms["mean"], single, qps, index.memory_bytes / 1e6, build_s)
 
 
 def provenance(spark: SparkSession) -> dict:
@@ -143,21 +168,31 @@ def provenance(spark: SparkSession) -> dict:
 
 
 def write_report(path: str, spark: SparkSession, results: list[BenchResult]) -> None:
-    with open(path, "w") as f:
-        json.dump({"schema_version": 1, "provenance": provenance(spark), "results": [asdict(r) for r in results]}, f, indent=2)
+    """One JSON file, on any file system of the session."""
+    storage.write_json(spark, path, json.dumps({"schema_version": 1, "provenance": provenance(spark), "results": [asdict(r) for r in results]}, indent=2))
 
 
-def text_table(results: list[BenchResult]) -> str:
-    """Fixed columns; numbers under 100 with four decimals, others with thousands separators; '-' for none."""
+# The headings of the table and the figures under them.
+HEADINGS = {"index": "name", "N": "n", "dim": "dim", "k": "k", "recall@k": "recall", "p50(ms)": "p50_ms", "p99(ms)": "p99_ms", "QPS(1t)": "qps_1t", "QPS(mt)": "qps_mt", "mem(MB)": "memory_mb"}
+
 
-    def cell(v: object) -> str:
-        if v is None:
+def shown(v: object) -> str:
+    """Integers and floats of 100 and more with thousands separators, other floats with four decimals, '-' for none."""
+    match v:
+        case None:
             return "-"
-        if isinstance(v, float):
-            return f"{v:.4f}" if abs(v) < 100 else f"{v:,.1f}"
-        return str(v)
-
-    names = list(BenchResult.__dataclass_fields__)
-    rows = [names] + [[cell(getattr(r, c)) for c in names] for r in results]
-    width = [max(len(r[i]) for r in rows) for i in range(len(names))]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, width)).rstrip() for r in rows)
+        case float():
+            return format(v, ".4f" if v < 100 else ",.0f")
+        case int():
+            return format(v, ",")
+    return str(v)
+
+
+def text_table(results: list[BenchResult]) -> str:
+    """A right-aligned table: headings, a rule, one line a result."""
+    columns = [[h, *(shown(getattr(r, f)) for r in results)] for h, f in HEADINGS.items()]
+    for c in columns:
+        width = max(map(len, c))
+        c.insert(1, "-" * width)
+        c[:] = [v.rjust(width) for v in c]
+    return "\n".join(map("  ".join, zip(*columns)))
