@@ -20,12 +20,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
+from .common import in_blocks
+
 #: Rows that the rotations are learned from: those with the smallest id hashes.
 SAMPLE_ROWS = 4096
 #: Rows that a bucket of an index should hold on average; the substring length follows.
 BUCKET_ROWS = 600
-#: A larger bucket is cut into blocks of this size, compared pair by pair in tasks of their own.
-BLOCK_ROWS = 4096
+#: A larger bucket is cut into blocks of half this size, compared pair by pair in tasks of their own.
+BLOCK_ROWS = 16_384
+#: Hot buckets up to this number are told to the tasks; more are joined by a shuffle.
+BROADCAST_BUCKETS = 1_000_000
 #: Two vectors at the threshold meet in some substring with at least this probability, at any number of rows.
 MEET = 0.97
 #: Where that needs more substrings, they are kept shorter and the buckets grow instead.
@@ -39,9 +44,9 @@ def valid_vector(v: Column, dim: int) -> Column:
 
 
 def pack_floats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, v array) -> (id, x binary): float32 bytes, a sixth of the cost of array cells downstream."""
+    """v array -> x binary: float32 bytes, a sixth of the cost of array cells downstream; null stays null."""
     for d in batches:
-        yield pd.DataFrame({"id": d["id"], "x": [np.asarray(v, np.float32).tobytes() for v in d["v"]]})
+        yield d.drop(columns="v").assign(x=[None if v is None else np.asarray(v, np.float32).tobytes() for v in d["v"]])
 
 
 def unpack(cells: pd.Series, dim: int) -> np.ndarray:
@@ -116,8 +121,13 @@ class MultiIndex:
         return out
 
 
-def bucket_counts(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) -> dict[int, int]:
-    """Buckets of more than BLOCK_ROWS rows: at most rows * tables / BLOCK_ROWS of them."""
+def hot_buckets(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) -> DataFrame:
+    """(g, rows): buckets of more than BLOCK_ROWS rows, about.
+
+    Counted on every few ids by hash, since the numbers only say into how many blocks a
+    bucket is cut; all rows are searched either way. Staged, never collected.
+    """
+    of = max(1, BLOCK_ROWS // 256)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
@@ -126,8 +136,8 @@ def bucket_counts(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0
                 k, n = np.unique(g, return_counts=True)
                 yield pd.DataFrame({"g": k, "n": n})
 
-    x = packed.mapInPandas(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK_ROWS)
-    return {r["g"]: r["n"] for r in x.collect()}
+    some = packed.where(F.pmod(F.xxhash64(F.lit("hot"), "id"), F.lit(of)) == 0) if of > 1 else packed
+    return stage(some.mapInPandas(run, "g long, n long").groupBy("g").agg((F.sum("n") * of).alias("rows")).where(F.col("rows") > BLOCK_ROWS), "hot")
 
 
 def bucketed(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) -> DataFrame:
@@ -135,12 +145,12 @@ def bucketed(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) ->
     (g, bi, bj).
 
     Every vector goes to one bucket per substring. A bucket of more than
-    BLOCK_ROWS rows (a hot one may hold a third of all rows) is cut into blocks
-    by id hash, and every pair of blocks becomes a group of its own, so no task
-    ever holds more than two blocks' worth of vectors. side: 0 for block bi, 1 for bj.
+    BLOCK_ROWS rows (a hot one may hold a third of all rows) is cut into blocks,
+    and every pair of blocks becomes a group of its own, so no task ever holds
+    more than two blocks' worth of vectors. side: 0 for block bi, 1 for bj.
     ``extra`` floats may follow the vector in x; they are carried along.
     """
-    hot = bucket_counts(packed, index, dim, extra)
+    most = max(1, BLOCK_ROWS // 16)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
@@ -149,31 +159,29 @@ def bucketed(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) ->
             x = unpack(d["x"], dim + extra)
             ids = d["id"].to_numpy(np.int64)
             keys = index.keys(unit(x[:, :dim]))
-            mixed = (ids * -7046029254386353131) >> 33
             out: list[tuple] = []
             for t in range(index.tables):
                 order = np.argsort(keys[:, t], kind="stable")
                 ks = keys[order, t]
                 cuts = np.flatnonzero(np.append(True, ks[1:] != ks[:-1]))
                 for a, b in zip(cuts, np.append(cuts[1:], len(ks))):
-                    g, rows = (t << 32) + int(ks[a]), order[a:b]
-                    n = hot.get(g, 0)
-                    if not n:
-                        out.append((g, 0, 0, 0, ids[rows].tobytes(), x[rows].tobytes()))
-                        continue
-                    blocks = -(-n // (BLOCK_ROWS // 2))
-                    of = mixed[rows] % blocks
-                    for i in np.unique(of):
-                        r = rows[of == i]
-                        for j in range(blocks):
-                            lo, hi = min(i, j), max(i, j)
-                            out.append((g, int(lo), int(hi), int(i != lo), ids[r].tobytes(), x[r].tobytes()))
+                    g = (t << 32) + int(ks[a])
+                    for c in range(a, b, most):  # parts are the smallest pieces that blocks are made of
+                        rows = order[c : min(b, c + most)]
+                        out.append((g, int(ids[rows[0]]), ids[rows].tobytes(), x[rows].tobytes()))
                 if t % 32 == 31:  # bounds the copies of a batch that are held
-                    yield pd.DataFrame(out, columns=["g", "bi", "bj", "side", "ids", "xs"])
+                    yield pd.DataFrame(out, columns=["g", "part", "ids", "xs"])
                     out = []
-            yield pd.DataFrame(out, columns=["g", "bi", "bj", "side", "ids", "xs"])
-
-    return packed.mapInPandas(run, "g long, bi int, bj int, side int, ids binary, xs binary")
+            yield pd.DataFrame(out, columns=["g", "part", "ids", "xs"])
+
+    parts = packed.mapInPandas(run, "g long, part long, ids binary, xs binary")
+    hot = hot_buckets(packed, index, dim, extra)
+    n = hot.count()
+    if not n:
+        return parts.select("g", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), "ids", "xs")
+    x = parts.join(F.broadcast(hot) if n <= BROADCAST_BUCKETS else hot, "g", "left")
+    x = in_blocks(x, F.coalesce("rows", F.lit(0)), "part", BLOCK_ROWS // 2)
+    return x.select("g", F.col("_lo").alias("bi"), F.col("_hi").alias("bj"), (F.col("_i") != F.col("_lo")).cast("int").alias("side"), "ids", "xs")
 
 
 def unpack_group(d: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

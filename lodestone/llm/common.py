@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stage
@@ -27,16 +28,31 @@ def latest(df: DataFrame, key: str, ts: str) -> DataFrame:
 
     Rows repeated exactly give one row; of different rows with the same key and ts
     the one with the greatest hash counts, so the choice is the same in every run; a
-    null ts counts as the earliest.
+    null ts counts as the earliest. Rows are shuffled once, and all but one a key and task
+    are dropped before.
     """
     rest = [c for c in df.columns if c != key]
-    when = F.coalesce(F.col(ts).cast("timestamp"), F.timestamp_seconds(F.lit(-62135596800)))
-    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in rest]), F.struct(when, F.xxhash64(*rest))).alias("_r"))
-    return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    first = W.partitionBy(key).orderBy(F.desc_nulls_last(F.col(ts).cast("timestamp")), F.desc(F.xxhash64(*rest)))
+    return df.where(F.col(key).isNotNull()).withColumn("__place", F.row_number().over(first)).where(F.col("__place") == 1).drop("__place")
 
 
-def salt(col: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+def in_blocks(df: DataFrame, rows: Column, id_col: str, block: int) -> DataFrame:
+    """Adds _i, _lo, _hi, by which the rows of a group are paired in blocks.
+
+    A group of ``rows`` rows is cut into blocks of about ``block`` by id hash; a row of
+    block _i comes once for each other block, under the numbers of the two, _lo <= _hi.
+    A self-join on the group, _lo and _hi with the condition of ``pair_once`` then meets
+    every pair once, in tasks of bounded size. Small groups have one block and no copies.
+    """
+    n = F.greatest(F.lit(1), F.ceil(rows / F.lit(float(block)))).cast("int")
+    x = df.withColumn("_n", n).withColumn("_i", F.pmod(F.xxhash64(id_col), F.col("_n")).cast("int"))
+    x = x.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return x.withColumn("_lo", F.least("_i", "_j")).withColumn("_hi", F.greatest("_i", "_j")).drop("_n", "_j")
+
+
+def pair_once(a: str, i: str, b: str, j: str) -> Column:
+    """Of a self-join of blocks: ids a and b of the blocks i and j make a pair in this order."""
+    return F.when(F.col("_lo") == F.col("_hi"), F.col(a) < F.col(b)).otherwise((F.col(i) == F.col("_lo")) & (F.col(j) == F.col("_hi")))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:

@@ -16,15 +16,16 @@ from .common import latest
 TABLES = 20
 
 
-def distinct_vectors(vectors: DataFrame, dim: int, id_col: str, vec_col: str, ts_col: str | None, keep: int) -> tuple[DataFrame, DataFrame]:
+def distinct_vectors(vectors: DataFrame, dim: int, id_col: str, vec_col: str, ts_col: str | None) -> tuple[DataFrame, DataFrame]:
     """(packed, copies) of the valid current vectors.
 
     packed(id, x): one row per distinct vector under its smallest id. copies(rep,
-    id, place): ids of vectors that are repeated exactly, place 0 for rep itself.
+    id): ids of vectors that are repeated exactly, rep itself among them.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), *([F.col(ts_col).alias("ts")] if ts_col else []))
-    rows = latest(rows if ts_col else rows.withColumn("ts", F.lit(0).cast("timestamp")), "id", "ts")
-    rows = stage(rows.where(valid_vector(F.col("v"), dim)).select("id", "v").mapInPandas(pack_floats, "id long, x binary"), "vectors")
+    v = F.col(vec_col)
+    rows = vectors.select(F.col(id_col).alias("id"), (F.col(ts_col) if ts_col else F.lit(0)).cast("timestamp").alias("ts"), F.xxhash64(v).alias("h"), F.when(valid_vector(v, dim), v).alias("v"))
+    rows = latest(rows.mapInPandas(pack_floats, "id long, ts timestamp, h long, x binary"), "id", "ts")
+    rows = stage(rows.where("x is not null").select("id", "x"), "vectors")
     # copies are found by digest, in two steps so that a hot vector is counted before the shuffle
     digest = rows.select("id", F.xxhash64("x").alias("h1"), F.hash("x").alias("h2"))
     reps = digest.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "rep")
@@ -134,7 +135,7 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float = 0.8, dim: in
     if k < 1:
         raise ValueError("k must be at least 1")
     spark = vectors.sparkSession
-    packed, copies = distinct_vectors(vectors, dim, id_col, vec_col, ts_col, k + 1)
+    packed, copies = distinct_vectors(vectors, dim, id_col, vec_col, ts_col)
     packed = stage(packed, "packed")
     index = MultiIndex.fit(packed, packed.count(), dim, tables, least=least)
     near = bucketed(packed, index, dim).groupBy("g", "bi", "bj").applyInPandas(_bucket_topk(dim, k, least), "q long, near binary")
