@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .common import components
+from .common import components, in_blocks, pair_once
 
 BANDS = 7
 SYMBOLS = 7 * BANDS
@@ -34,6 +34,9 @@ SIGN_LIMIT = 29
 #: Fewest equal symbols of 49: at J = 0.5 24.5 are equal (deviation 3.5), so 11 is 3.9 deviations away.
 SYMBOL_FLOOR = 11
 BROADCAST_IDS = 500_000  # 4 MB of ids at most; beyond it a shuffled semi-join
+#: Larger buckets of a table, and larger groups of copies, are paired in blocks of this size.
+BLOCK_ROWS = 4096
+BROADCAST_KEYS = 1_000_000
 
 #: The covering masks: the lines of the Fano plane, i.e. the triples of nonzero
 #: three-bit vectors with exclusive-or zero.
@@ -139,6 +142,34 @@ def _shingle_sets(width: int, least_words: int):
     return run
 
 
+def hot_keys(rows: DataFrame) -> DataFrame:
+    """(key, n): buckets of more than BLOCK_ROWS records, about.
+
+    Counted on every few records by id hash, since the numbers only say into how many
+    blocks a bucket is cut; all records are paired either way. Staged, never collected.
+    """
+    of = max(1, BLOCK_ROWS // 128)
+    some = rows.where(F.pmod(F.xxhash64(F.lit("hot"), "id"), F.lit(of)) == 0) if of > 1 else rows
+    return stage(some.mapInPandas(_table_keys, "key long, id long, sign long").groupBy("key").agg((F.count("*") * of).alias("n")).where(F.col("n") > BLOCK_ROWS), "hot")
+
+
+def _met(keys: DataFrame, hot: DataFrame) -> DataFrame:
+    """(a, b): pairs that share a bucket and are alike in their signs, each once.
+
+    Buckets of many records, such as the variants of one page, are paired block by block,
+    so no task holds one as a whole.
+    """
+    alike = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SIGN_LIMIT
+    n = hot.count()
+    if not n:
+        a, b = keys.toDF("key", "a", "sa"), keys.toDF("key", "b", "sb")
+        return a.join(b, "key").where((F.col("a") < F.col("b")) & alike).select("a", "b").distinct()
+    x = in_blocks(keys.join(F.broadcast(hot) if n <= BROADCAST_KEYS else hot, "key", "left"), F.coalesce("n", F.lit(0)), "id", BLOCK_ROWS).drop("n")
+    a, b = x.select("key", "_lo", "_hi", F.col("id").alias("a"), F.col("_i").alias("ia"), F.col("sign").alias("sa")), x.select("key", "_lo", "_hi", F.col("id").alias("b"), F.col("_i").alias("ib"), F.col("sign").alias("sb"))
+    both = a.join(b, ["key", "_lo", "_hi"]).where(pair_once("a", "ia", "b", "ib") & alike)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, text: Column, id_col: str = "id", ts_col: str | None = None, width: int = 5, least_words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(classes, links).
 
@@ -171,8 +202,7 @@ def near_duplicates(docs: DataFrame, text: Column, id_col: str = "id", ts_col: s
     chosen = members.groupBy("k1", "k2").agg(F.min(F.struct(*key)).alias("m")).select("m.*")
     rows = stage(sketched.select(*key, "sign", "sketch").join(chosen, key).dropDuplicates(key).select("id", "sign", "sketch"), "rows")
     keys = rows.mapInPandas(_table_keys, "key long, id long, sign long")
-    a, b = keys.toDF("key", "a", "sa"), keys.toDF("key", "b", "sb")
-    met = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= SIGN_LIMIT)).select("a", "b").distinct()
+    met = _met(keys, hot_keys(rows))
 
     equal = pandas_udf(_equal_symbols, "int")
     sk = rows.select("id", "sketch")
@@ -196,12 +226,13 @@ def near_duplicates(docs: DataFrame, text: Column, id_col: str = "id", ts_col: s
 def expand_pairs(classes: DataFrame, links: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records, copies included.
 
-    Its size is that of the answer, quadratic in the size of a group of copies;
-    use the classes and links themselves where copies abound.
+    Its size is that of the answer, quadratic in the size of a group of copies, which
+    are paired in blocks; use the classes and links themselves where copies abound.
     """
-    multi = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1").select("rep")
-    copies = classes.join(multi, "rep")
-    inner = copies.select("rep", F.col("id").alias("id_a")).join(copies.select("rep", F.col("id").alias("id_b")), "rep").where("id_a < id_b").select("id_a", "id_b")
+    multi = classes.groupBy("rep").agg(F.count("*").alias("n")).where("n > 1")
+    copies = in_blocks(classes.join(multi, "rep"), F.col("n"), "id", BLOCK_ROWS)
+    a, b = copies.select("rep", "_lo", "_hi", F.col("id").alias("id_a"), F.col("_i").alias("ia")), copies.select("rep", "_lo", "_hi", F.col("id").alias("id_b"), F.col("_i").alias("ib"))
+    inner = a.join(b, ["rep", "_lo", "_hi"]).where(pair_once("id_a", "ia", "id_b", "ib")).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     x = links.select(F.col("a").alias("rep"), "b").join(classes, "rep").select(F.col("id").alias("x"), F.col("b").alias("rep"))
     x = x.join(classes, "rep").select("x", F.col("id").alias("y"))
     return inner.unionByName(x.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")))
