@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANK_BUCKET_ROWS = 50_000
+BROADCAST_OFFSETS = 1_000_000
 
 
 def plan_placements(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -83,21 +84,27 @@ def pieces(docs: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str
     )
 
 
-def rank_by_length(items: DataFrame, rows: int) -> DataFrame:
+def rank_by_length(items: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """Adds ``rank``: 0, 1, ... among the items of one length, in no given order.
 
-    A length may hold a third of all rows, so ranks are counted inside salted
-    buckets of about RANK_BUCKET_ROWS rows and shifted by the buckets' offsets,
-    which come from a small table of (length, bucket) counts.
+    A length may hold a third of all rows. Lengths of more than RANK_BUCKET_ROWS items
+    are salted: ranks are counted inside buckets of about that size and shifted by
+    the buckets' offsets. Only those lengths have offsets, at most rows / RANK_BUCKET_ROWS
+    of them in all; other lengths are one bucket each.
     """
     from pyspark.sql import Window as W
 
-    n = max(1, -(-rows // RANK_BUCKET_ROWS))
-    x = items.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(n)).cast("int"))
-    counts = x.groupBy("length", "_b").agg(F.count("*").alias("_n"))
-    before = counts.select("length", "_b", (F.sum("_n").over(W.partitionBy("length").orderBy("_b")) - F.col("_n")).alias("_off"))
-    local = x.withColumn("_r", F.row_number().over(W.partitionBy("length", "_b").orderBy("doc_id", "piece_no")) - 1)
-    return local.join(before, ["length", "_b"]).withColumn("rank", (F.col("_r") + F.col("_off")).cast("long")).drop("_b", "_r", "_off")
+    hot = {k: -(-n // RANK_BUCKET_ROWS) for k, n in histogram.items() if n > RANK_BUCKET_ROWS}
+    local = lambda x, *by: x.withColumn("rank", (F.row_number().over(W.partitionBy("length", *by).orderBy("doc_id", "piece_no")) - 1).cast("long"))
+    if not hot:
+        return local(items)
+    salts = items.sparkSession.createDataFrame(list(hot.items()), "length long, _n int")
+    x = items.join(F.broadcast(salts), "length", "left")  # a row a hot length
+    x = x.withColumn("_b", F.when(F.col("_n").isNotNull(), F.pmod(F.xxhash64("doc_id", "piece_no"), F.col("_n"))).otherwise(0).cast("int"))
+    counts = x.where("_n is not null").groupBy("length", "_b").agg(F.count("*").alias("_c"))
+    before = counts.select("length", "_b", (F.sum("_c").over(W.partitionBy("length").orderBy("_b")) - F.col("_c")).alias("_off"))
+    x = local(x, "_b").join(F.broadcast(before) if sum(hot.values()) <= BROADCAST_OFFSETS else before, ["length", "_b"], "left")
+    return x.withColumn("rank", F.col("rank") + F.coalesce("_off", F.lit(0))).drop("_n", "_b", "_off")
 
 
 def pack(docs: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "size") -> DataFrame:
@@ -112,13 +119,13 @@ def pack(docs: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str =
         raise ValueError("capacity must be at least 1")
     sized = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("size"))
     items = pieces(sized, capacity)
-    histogram = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
+    counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity + 1 rows
+    histogram = dict(counts)
     zero = histogram.pop(0, 0)
     full = histogram.pop(capacity, 0)  # full pieces fill a container each
     places, used = plan_placements(histogram, capacity)
     places += [(capacity, 0, full, used)] if full else []
     places += [(0, 0, 0, 0)] if zero else []
-    rows = sum(histogram.values()) + full + zero
     places.sort()
     # one key orders (length, rank): ranks stay under 2**40
     key = np.array([(a << 40) + b for a, b, _, _ in places], dtype=np.int64)
@@ -131,7 +138,7 @@ def pack(docs: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str =
             at = np.searchsorted(key, (length << 40) + rank, side="right") - 1
             yield x.drop(columns="rank").assign(container=np.where(lengths[at] > 0, start[at] + rank, 0) if len(key) else 0)
 
-    ranked = rank_by_length(items, rows).select("doc_id", "piece_no", "pieces", "length", "rank")
+    ranked = rank_by_length(items, counts).select("doc_id", "piece_no", "pieces", "length", "rank")
     return ranked.mapInPandas(lookup, "doc_id long, piece_no int, pieces int, length long, container long")
 
 
