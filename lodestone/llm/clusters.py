@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .codes import MultiIndex, bucketed, unit, unpack, unpack_group
+from .codes import MultiIndex, bucketed, short_form, shortened, unit, unpack, unpack_group
 from .common import components
 from .neighbours import distinct_vectors
 
@@ -168,8 +168,11 @@ def parted(packed: DataFrame, rows: int, dim: int, least: float) -> tuple[DataFr
         most = max(2, min(SAMPLE_ROWS // 32, MOST_LEAVES // len(sizes)))
         spark = packed.sparkSession
         counts = F.broadcast(spark.createDataFrame(list(sizes.items()), "node long, n long"))  # at most MOST_LEAVES rows
-        large = now.join(counts, "node")
-        done.append(now.join(counts.select("node"), "node", "left_anti").select("id", "x", "node"))
+        if sizes.keys() == {0}:
+            large = now.withColumn("n", F.lit(rows))
+        else:
+            large = now.join(counts, "node")
+            done.append(now.join(counts.select("node"), "node", "left_anti").select("id", "x", "node"))
         some = large.where(F.pmod(F.xxhash64("id", "node"), F.lit(1 << 30)) < F.lit(float(SAMPLE_ROWS)) / F.col("n") * float(1 << 30))
 
         got = some.groupBy("node").applyInPandas(_learner(dim, most, compact), "node long, split binary, children binary, centres binary").collect()  # MOST_LEAVES planes and centres
@@ -213,7 +216,7 @@ def parted(packed: DataFrame, rows: int, dim: int, least: float) -> tuple[DataFr
             break  # tasks part the rest, which takes more memory of each
     done.append(now)
     union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    return union(done[1:] if rows else done), union(cliques) if cliques else None
+    return union(done), union(cliques) if cliques else None
 
 
 def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -314,33 +317,71 @@ def _finish_block(dim: int, least: float, compact: float):
     return run
 
 
-def _tagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, comp, x) -> (id, x) with the component behind the vector, as the bits of two floats."""
-    for d in batches:
-        yield pd.DataFrame({"id": d["id"], "x": [x + c.tobytes() for x, c in zip(d["x"], d["comp"].to_numpy(np.int64))]})
+def _shortened(dim: int):
+    """(id, comp, x) -> (id, x, p): a quarter of the bytes travels to the tables, with the component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                p = shortened(unit(unpack(d["x"], dim)), d["comp"].to_numpy(np.int64))
+                yield pd.DataFrame({"id": d["id"], "x": d["x"], "p": [r.tobytes() for r in p]})
+
+    return run
 
 
 def _links(dim: int, least: float):
-    """Pairs of components with similar members in a bucket, each pair once."""
+    """(a, b, i, j): pairs of components with similar members in a bucket, each once; where the
+    shortened vectors leave it open, every pair of members i, j that may be similar."""
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        ids, x, side = unpack_group(d, dim + 2)
-        u = unit(x[:, :dim])
-        names, of = np.unique(np.ascontiguousarray(x[:, dim:]).view(np.int64).ravel(), return_inverse=True)
+        ids, p, side = unpack_group(d, short_form(dim))
+        names, of = np.unique(p["label"], return_inverse=True)
+        sure, open_i, open_j = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         split = int((side == 0).sum())
         a, b = (np.arange(split), np.arange(split, len(ids))) if split < len(ids) else (np.arange(len(ids)),) * 2
-        out = [np.empty(0, np.int64)]
+        f = (p["q"] * p["scale"][:, None]).astype(np.float32)
+        off = p["off"]
         for s in range(0, len(a) if len(names) > 1 else 0, CHUNK_ROWS):
             r = a[s : s + CHUNK_ROWS]
-            i, j = close_pairs(u[r], u[b], least, (of[r], of[b]))
-            i, j = of[r[i]], of[b[j]]
-            out.append(np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j)))
-        pairs = np.unique(np.concatenate(out))
-        return pd.DataFrame({"a": names[pairs // len(names)], "b": names[pairs % len(names)]})
+            c = f[r] @ f[b].T
+            # the true cosine differs by at most both errors, each against a vector of about unit length
+            i, j = np.nonzero((c >= least - 1e-5 - (off[r].max() + off[b].max()) * 1.02) & (of[r][:, None] != of[b]))
+            c, i, j = c[i, j], r[i], b[j]
+            slack = (off[i] + off[j]) * 1.02 + 1e-5
+            keep = (i < j) | (split < len(ids))
+            c, i, j, slack = c[keep], i[keep], j[keep], slack[keep]
+            key = np.minimum(of[i], of[j]) * len(names) + np.maximum(of[i], of[j])
+            known = c - slack >= least
+            sure.append(np.unique(key[known]))
+            maybe = ~known & (c + slack >= least) & ~np.isin(key, sure[-1])
+            open_i.append(i[maybe])
+            open_j.append(j[maybe])
+        pairs = np.unique(np.concatenate(sure))
+        i, j = np.concatenate(open_i), np.concatenate(open_j)
+        ends = lambda k: names[k]
+        return pd.DataFrame({
+            "a": np.append(ends(pairs // len(names)), ends(of[i])), "b": np.append(ends(pairs % len(names)), ends(of[j])),
+            "i": pd.array([None] * len(pairs) + ids[i].tolist(), "Int64"), "j": pd.array([None] * len(pairs) + ids[j].tolist(), "Int64"),
+        })
 
     return run
 
 
+def _settled(hits: DataFrame, rows: DataFrame, dim: int, least: float) -> DataFrame:
+    """(a, b): the sure links and those whose open pairs of members are similar indeed, by whole vectors."""
+    sure = hits.where("i is null").select("a", "b")
+    still = hits.where("i is not null").select("a", "b", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().join(sure.distinct(), ["a", "b"], "left_anti")
+    x = still.join(rows.select(F.col("id").alias("i"), F.col("x").alias("xi")), "i").join(rows.select(F.col("id").alias("j"), F.col("x").alias("xj")), "j")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            if len(d):
+                c = np.round(np.einsum("ij,ij->i", unit(unpack(d["xi"], dim)), unit(unpack(d["xj"], dim))), 6)
+                yield d.loc[c >= least, ["a", "b"]]
+
+    return sure.unionByName(x.mapInPandas(run, "a long, b long"))
+
+
 class Clustering:
     """The result of :func:`cluster`."""
 
@@ -451,9 +492,10 @@ def cluster(vectors: DataFrame, least: float = 0.8, dim: int = 64, id_col: str =
     rows = stage(rows if cliques is None else rows.unionByName(_clique_rows(cliques)), "leaves")
     roots = rows.sparkSession.createDataFrame([], "node long, root long")
     if n > BLOCK_ROWS:
-        members = stage(rows.select("id", "comp", "x").mapInPandas(_tagged, "id long, x binary"), "members")
-        index = MultiIndex.fit(members, n, dim, 0, extra=2, least=least, meet=MEET)  # links between groups: random bits only
-        hits = stage(bucketed(members, index, dim, extra=2).groupBy("g", "bi", "bj").applyInPandas(_links(dim, least), "a long, b long").distinct(), "links")
+        index = MultiIndex.fit(rows, n, dim, 0, least=least, meet=MEET)  # links between groups: random bits only
+        members = rows.select("id", "comp", "x").mapInPandas(_shortened(dim), "id long, x binary, p binary")
+        met = stage(bucketed(members, index, dim, n).groupBy("g", "bi", "bj").applyInPandas(_links(dim, least), "a long, b long, i long, j long"), "met")
+        hits = stage(_settled(met, rows, dim, least).distinct(), "links")
         if not hits.isEmpty():
             roots = stage(components(hits), "roots")
     return Clustering(rows, roots, copies, dim)

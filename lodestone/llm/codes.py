@@ -96,7 +96,7 @@ class MultiIndex:
         self.weights = 1 << np.arange(width, dtype=np.int64)
 
     @classmethod
-    def fit(cls, packed: DataFrame, rows: int, dim: int, tables: int, extra: int = 0, least: float = 0.8, meet: float = MEET) -> MultiIndex:
+    def fit(cls, packed: DataFrame, rows: int, dim: int, tables: int, least: float = 0.8, meet: float = MEET) -> MultiIndex:
         """packed: (id, x). Learns from SAMPLE_ROWS rows; indexes are for ``rows`` rows. There
         are ``tables`` under learned rotations and as many more under random ones as ``meet``
         at cosine ``least`` needs. Learned bits keep groups together, so they part vectors of
@@ -107,7 +107,7 @@ class MultiIndex:
         every = max(tables, tables_for(width, least, meet)) if width else 1
         learned = min(tables, every)
         got = packed.select("x", F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(SAMPLE_ROWS).select("x").collect()  # bounded: SAMPLE_ROWS vectors
-        sample = unit(np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(-1, dim + extra)[:, :dim]) if got else np.empty((0, dim))
+        sample = unit(np.frombuffer(b"".join(bytes(r[0]) for r in got), np.float32).reshape(-1, dim)) if got else np.empty((0, dim))
         rotations = [learn_rotations(sample, learned * width), learn_rotations(sample, (every - learned) * width, seed=12, rounds=0)]
         return cls(np.concatenate(rotations, axis=1), every, width)
 
@@ -121,7 +121,7 @@ class MultiIndex:
         return out
 
 
-def hot_buckets(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) -> DataFrame:
+def hot_buckets(packed: DataFrame, index: MultiIndex, dim: int) -> DataFrame:
     """(g, rows): buckets of more than BLOCK_ROWS rows, about.
 
     Counted on every few ids by hash, since the numbers only say into how many blocks a
@@ -132,7 +132,7 @@ def hot_buckets(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             if len(d):
-                g = index.keys(unit(unpack(d["x"], dim + extra)[:, :dim])) + (np.arange(index.tables, dtype=np.int64) << 32)
+                g = index.keys(unit(unpack(d["x"], dim))) + (np.arange(index.tables, dtype=np.int64) << 32)
                 k, n = np.unique(g, return_counts=True)
                 yield pd.DataFrame({"g": k, "n": n})
 
@@ -140,25 +140,26 @@ def hot_buckets(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0)
     return stage(some.mapInPandas(run, "g long, n long").groupBy("g").agg((F.sum("n") * of).alias("rows")).where(F.col("rows") > BLOCK_ROWS), "hot")
 
 
-def bucketed(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) -> DataFrame:
+def bucketed(packed: DataFrame, index: MultiIndex, dim: int, rows: int | None = None) -> DataFrame:
     """Rows (g, bi, bj, side, ids, xs) of packed bucket parts, to be grouped by
-    (g, bi, bj).
+    (g, bi, bj). packed: (id, x), or (id, x, p) where p, bytes of one length, travels in
+    place of the vector.
 
     Every vector goes to one bucket per substring. A bucket of more than
     BLOCK_ROWS rows (a hot one may hold a third of all rows) is cut into blocks,
     and every pair of blocks becomes a group of its own, so no task ever holds
     more than two blocks' worth of vectors. side: 0 for block bi, 1 for bj.
-    ``extra`` floats may follow the vector in x; they are carried along.
     """
+    carried = "p" if "p" in packed.columns else "x"
     most = max(1, BLOCK_ROWS // 16)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             if not len(d):
                 continue
-            x = unpack(d["x"], dim + extra)
             ids = d["id"].to_numpy(np.int64)
-            keys = index.keys(unit(x[:, :dim]))
+            keys = index.keys(unit(unpack(d["x"], dim)))
+            x = np.frombuffer(b"".join(d[carried]), np.uint8).reshape(len(d), -1)
             out: list[tuple] = []
             for t in range(index.tables):
                 order = np.argsort(keys[:, t], kind="stable")
@@ -175,8 +176,11 @@ def bucketed(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) ->
             yield pd.DataFrame(out, columns=["g", "part", "ids", "xs"])
 
     parts = packed.mapInPandas(run, "g long, part long, ids binary, xs binary")
-    hot = hot_buckets(packed, index, dim, extra)
-    n = hot.count()
+    if rows is not None and rows <= BLOCK_ROWS:
+        n = 0
+    else:
+        hot = hot_buckets(packed, index, dim)
+        n = hot.count()
     if not n:
         return parts.select("g", F.lit(0).alias("bi"), F.lit(0).alias("bj"), F.lit(0).alias("side"), "ids", "xs")
     x = parts.join(F.broadcast(hot) if n <= BROADCAST_BUCKETS else hot, "g", "left")
@@ -184,10 +188,24 @@ def bucketed(packed: DataFrame, index: MultiIndex, dim: int, extra: int = 0) ->
     return x.select("g", F.col("_lo").alias("bi"), F.col("_hi").alias("bj"), (F.col("_i") != F.col("_lo")).cast("int").alias("side"), "ids", "xs")
 
 
-def unpack_group(d: pd.DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, vectors, side) of a group's rows, in id order."""
+def unpack_group(d: pd.DataFrame, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, what they carry, side) of a group's rows, in id order."""
     ids = np.frombuffer(b"".join(d["ids"]), np.int64)
-    x = np.frombuffer(b"".join(d["xs"]), np.float32).reshape(-1, dim)
+    x = np.frombuffer(b"".join(d["xs"]), kind)
     side = np.repeat(d["side"].to_numpy(), [len(b) // 8 for b in d["ids"]])
     order = np.lexsort((ids, side))
     return ids[order], x[order], side[order]
+
+
+def short_form(dim: int) -> np.dtype:
+    """A unit vector in bytes: one a component, the scale, and how far it is off at most; with a label."""
+    return np.dtype([("q", "i1", (dim,)), ("scale", "<f4"), ("off", "<f4"), ("label", "<i8")])
+
+
+def shortened(u: np.ndarray, label: np.ndarray) -> np.ndarray:
+    out = np.empty(len(u), short_form(u.shape[1]))
+    out["scale"] = np.abs(u).max(axis=1) / 127
+    out["q"] = np.rint(u / out["scale"][:, None].astype(np.float64))
+    out["off"] = np.linalg.norm(u - out["q"] * out["scale"][:, None].astype(np.float64), axis=1) * (1 + 1e-6) + 1e-6
+    out["label"] = label
+    return out

@@ -36,7 +36,7 @@ def distinct_vectors(vectors: DataFrame, dim: int, id_col: str, vec_col: str, ts
 
 def _bucket_topk(dim: int, k: int, least: float):
     def run(d: pd.DataFrame) -> pd.DataFrame:
-        ids, x, side = unpack_group(d, dim)
+        ids, x, side = unpack_group(d, np.dtype((np.float32, (dim,))))
         u = unit(x)
         f = u.astype(np.float32)
         split = int((side == 0).sum())
@@ -137,8 +137,9 @@ def similar_vectors(vectors: DataFrame, k: int = 10, least: float = 0.8, dim: in
     spark = vectors.sparkSession
     packed, copies = distinct_vectors(vectors, dim, id_col, vec_col, ts_col)
     packed = stage(packed, "packed")
-    index = MultiIndex.fit(packed, packed.count(), dim, tables, least=least)
-    near = bucketed(packed, index, dim).groupBy("g", "bi", "bj").applyInPandas(_bucket_topk(dim, k, least), "q long, near binary")
+    n = packed.count()
+    index = MultiIndex.fit(packed, n, dim, tables, least=least)
+    near = bucketed(packed, index, dim, n).groupBy("g", "bi", "bj").applyInPandas(_bucket_topk(dim, k, least), "q long, near binary")
     best = near.repartition(slots(spark), "q").sortWithinPartitions("q").mapInPandas(_merge_topk(k), "vec_id long, rank int, near_id long, cosine double")
     if copies.isEmpty():
         return best
