@@ -432,7 +432,7 @@ class HnswIndex:
         if shards is not None and shards < 1 or probes is not None and probes < 1 or shard_rows < 1:
             raise ValueError("shards, probes and shard_rows must be at least 1")
         self.dim, self.metric, self.params = check_dim(dim), Metric.of(metric), params or HnswParams()
-        self.shards, self.probes, self.shard_rows = shards, probes, shard_rows
+        self.shards, self.probes, self.shard_rows, self.auto = shards, probes, shard_rows, shards is None
         self.centres: np.ndarray | None = None
         self.parts: np.ndarray | None = None  # shards of each centre
         self.graph: DataFrame | None = None
@@ -491,9 +491,13 @@ class HnswIndex:
     def add(self, vectors: DataFrame) -> HnswIndex:
         """Inserts (vec_id, embedding) in vec_id order after what is there.
 
-        ids must be new. Shards with new rows are extended, the others stay as they are.
-        An empty table leaves the index without a vector.
+        ids must be new. Shards with new rows are extended, the others stay as they are; where
+        that would make shards twice as large as they should be, all are dealt and built
+        anew (unless ``shards`` was given). An empty table leaves the index without a vector.
         """
+        if self.graph is not None and self.auto and self.size + vectors.count() > 2 * self.shards * self.shard_rows:
+            vectors = self.nodes().select("vec_id", "embedding").unionByName(vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")))
+            self.graph, self.centres, self.shards = None, None, None
         dim, metric, params = self.dim, self.metric, self.params
         fresh = packed(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")), "vec_id", "embedding", dim, "vectors")
         if self.centres is None:
@@ -704,12 +708,13 @@ class HnswIndex:
         spark = g.sparkSession
         rows = [(i, [float(v) for v in c], int(n)) for i, (c, n) in enumerate(zip(self.centres, self.parts))]
         spark.createDataFrame(rows, "centre int, x array<float>, shards int").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
-        storage.write_json(spark, f"{path}/index.json", json.dumps({"kind": "hnsw", "dim": self.dim, "metric": self.metric.value, "shards": self.shards, "probes": self.probes, "shard_rows": self.shard_rows, **asdict(self.params)}))
+        storage.write_json(spark, f"{path}/index.json", json.dumps({"kind": "hnsw", "dim": self.dim, "metric": self.metric.value, "shards": self.shards, "probes": self.probes, "shard_rows": self.shard_rows, "auto": self.auto, **asdict(self.params)}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> HnswIndex:
         meta = storage.read_index(spark, path, "hnsw")
         index = cls(meta["dim"], Metric.of(meta["metric"]), HnswParams(meta["m"], meta["ef_construction"], meta["ef_search"], meta["seed"]), meta["shards"], meta["probes"], meta["shard_rows"])
+        index.auto = meta["auto"]
         rows = spark.read.parquet(f"{path}/centres").orderBy("centre").collect()  # one row a centre
         index.centres, index.parts = np.array([r["x"] for r in rows], np.float32), np.array([r["shards"] for r in rows], np.int64)
         index.graph = spark.read.schema(GRAPH).parquet(f"{path}/graph")

@@ -11,6 +11,9 @@ import atexit
 import os
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,16 +67,29 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged() -> None:
-    """Delete every staged table of this process; scans of them end with it."""
-    while _staged:
+def drop_staged(keep: int = 0) -> None:
+    """Delete the staged tables of this process but for the first ``keep``; scans of them end
+    with it. One that can't be deleted is told by a warning and doesn't keep the others."""
+    while len(_staged) > keep:
         spark, path = _staged.pop()
+        if spark.sparkContext._jsc is None:
+            continue  # the session ended
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:
-            pass
+        except Exception as e:
+            warnings.warn(f"could not delete {path}: {e}", stacklevel=2)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables staged inside are deleted at its end, so a long session doesn't fill the shared
+    folder; what is to outlive it must be written or collected inside."""
+    held = len(_staged)
+    try:
+        yield
+    finally:
+        drop_staged(held)
 
 
 atexit.register(drop_staged)

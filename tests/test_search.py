@@ -398,6 +398,9 @@ def test_shards_by_centre_and_hot_centres(spark):
         visited = i._dealt_queries(asks).select("shard").distinct().count()
         assert visited <= i.shards and i.size == 3000
     assert {r["n"] for r in i.violations().collect()} == {0}
+    few = HnswIndex(24, L2, HnswParams(m=6, ef_construction=30), shard_rows=250).add(vecs.where("vec_id < 100")).staged()
+    assert few.shards == 1 and few.add(vecs.where("vec_id >= 100")).staged().shards > 8 and few.size == 3000
+    assert hit_rate(ids_of(few.search(asks, 10, ef=64), 200, 10), truth(x, q, 10, L2)) > 0.9
 
 
 def test_graph_of_few(spark):
@@ -436,6 +439,19 @@ def test_save_and_load(spark, data, tmp_path):
         HnswIndex.load(spark, path("e"))
 
 
+def test_scratch_tables_are_dropped(spark):
+    import os
+
+    from lodestone import session
+
+    kept = stage(spark.range(3).toDF("i"), "kept")
+    with session.scratch():
+        gone = stage(spark.range(4).toDF("i"), "gone")
+        path = session._staged[-1][1].removeprefix("file:")
+        assert gone.count() == 4 and os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3
+
+
 # -- evaluation ------------------------------------------------------------------------------------
 
 
