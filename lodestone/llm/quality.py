@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Frequent function words of English, German, French, Spanish, Italian, Portuguese and Dutch.
@@ -32,7 +32,7 @@ STATISTICS = (
 
 _IN = "(" + ", ".join("'" + w + "'" for w in sorted(set(COMMON_WORDS))) + ")"
 _BREAK = r"\r\n|[\n\r\x{b}\f\x{85}\x{2028}\x{2029}]"
-_CELL = r"\|\|?|!!|\t|,(?=[^\s])|;(?=[^\s])|\s&\s|</t[dh]>|(?<! ) {3,}+(?=[^\s])"
+_CELL = r"(?=[|!\t,;<\s])(?:\|\|?|!!|\t|,(?=[^\s])|;(?=[^\s])|\s&\s|</t[dh]>|(?<! ) {3,}+(?=[^\s]))"
 _INLINE = (" · ", " / ", " • ", " > ", " → ", " » ")
 _MARKS = (" | ", "; ")
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+"
@@ -63,7 +63,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep_text: bool = True)
     # plain replacements count marks much faster than a pattern does
     marks = lambda of: " + ".join(f"(length(l) - length(replace(l, {_sql(m)}, ''))) div {len(m)}" for m in of)
     line = f"""named_struct(
-        'l', l, 'c', length(regexp_replace(l, {_sql(_BLANK)}, '')),
+        'l', l, 'c', length(regexp_replace(replace(l, ' ', ''), {_sql(_BLANK)}, '')),
         'w', filter(split(lower(l), '[^\\\\p{{L}}]+'), w -> w <> ''),
         'd', regexp_count(l, {_sql(_CELL)}),
         'a', {marks(_INLINE)}, 'm', {marks(_MARKS)}, 't', length(l) - length(replace(l, ' ', '')) + 1,
@@ -211,7 +211,3 @@ def classify(docs: DataFrame, text_col: str = "text", case: str | None = None, k
     x = statistics(docs, text_col, keep_text)
     case = case or rules(docs.sparkSession)
     return x.withColumn("kind", F.when(F.col("size") == 0, "blank").otherwise(F.expr(case)))
-
-
-def kind_of(case: str) -> Column:
-    return F.expr(case)

@@ -17,25 +17,28 @@ NOUNS = """harbour letter engine meadow contract violin recipe planet nurse mark
 router theorem basket glacier pepper chorus statute tissue voltage colony""".split()
 ADJECTIVES = "narrow quiet recent broad legal digital acute frozen northern loud careful ancient liquid common famous tidal".split()
 VERBS = "noticed repaired described measured followed sold opened counted crossed painted moved studied remembered".split()
+# Sentence frames of this module's own making; none of them is taken from a corpus that the rules are used on.
 ENGLISH = [
-    "The {a} {n} {v} the {n} near {N}.", "In {y}, {N} {v} a {n} and the {a} {n} that came with it.", "Because the {n} was {a}, nobody in {N} {v} the {n}.", "It was {N} who {v} the {a} {n} during the {n} of {y}.",
-    "There are at least {d} ways in which the {n} {v} a {a} {n}.", "Without the {n}, the {n} could not have been {v} at all.", "Most accounts say that the {n} {v} {N} at first.", "As a {n}, it is {a}; as a {n}, it remains {a}.",
-    "He had {d} reasons to doubt the {n}, but she {v} it with {d} of her own.", "“I have {v} your {n},” said {N}, “and I would not do it again.”", "- Have you {v} the {n}? - No, we {v} only the {a} {n}.",
-    "By {y} the {n} had {d} members, {d} of them from {N}, and it cost {d} crowns.", "Every {a} {n} has a {n}, and every {n} has its {n}.", "What made the {n} {a} was not the {n} but the {n} beside the {n}.",
+    "After the {n} had been {v}, a {a} {n} was all that {N} could afford.", "Nobody told {N} why the {n} of {y} had to be {v} before the {n}.", "If you ask about the {n}, most people here will point to the {a} {n}.",
+    "She kept the {n} in a {a} {n} and {v} it whenever {N} was away.", "They {v} {d} letters about the {n}, none of which {N} ever answered.", "Neither the {n} nor the {n} was as {a} as {N} had hoped.",
+    "Since {y}, when the {n} was {v}, its {n} has belonged to {N}.", "“Where is the {a} {n}?” asked {N}. “I thought you had {v} it.”", "The rain stopped, the {n} was {v}, and everyone went back to the {n}.",
+    "Of the {d} guests, only {d} had seen how the {n} was {v}.", "{N} would rather have {v} a {n} than explain the {n} to us.", "Although {a}, the {n} held up well until it was {v} in {y}.",
+    "- Will the {n} be {v}? - Perhaps, but not while {N} is in charge.", "That a {n} can be {v} twice is something the {a} {n} of {N} had to learn.", "For {d} years it stood between a {n} and a {n}, and no one {v} it.",
 ]
 GERMAN = [
-    "Die Frage nach {W} und {W} hat {N} im Jahr {y} beschäftigt.", "Zwischen {W} und {W} liegen {d} Schritte, die {N} genau beschrieb.", "Es gab {d} Gründe, {W} neu zu ordnen und {W} zu prüfen.",
-    "Was {N} über {W} schrieb, gilt für {W} noch heute.", "Ohne {W} wäre der Bericht von {N} schwierig geblieben.", "Viele nannten {W} alt, doch {N} sah darin nur {W}.",
+    "Als {N} im Jahr {y} ankam, war {W} schon lange mit {W} verbunden.", "Niemand wusste, ob {W} aus {N} oder doch aus {W} stammte.", "Wer {W} kennt, der wird auch {W} und die {d} Briefe von {N} verstehen.",
+    "Nach {d} Tagen kam {N} zurück und fand weder {W} noch {W}.", "Das alles hat {N} nie gestört, denn {W} war für sie nur ein Wort.", "Wir haben {W} gesehen, aber {N} sprach lieber von {W} als von uns.",
 ]
 SPANISH = [
-    "Hay {d} maneras de entender {w} junto a {w}.", "En {y}, {N} escribió sin prisa sobre {w} y {w}.", "Nadie en {N} esperaba que {w} llegara antes que {w}.", "Muchos creen que {w} es algo sencillo, pero {N} prefería {w}.",
-    "Desde {y} la relación entre {w} y {w} cambió en {N}.",
+    "Cuando {N} llegó en {y}, ya no quedaba nada de {w} ni de {w}.", "A los {d} días se supo que {w} era más caro que {w}.", "Lo que dijo {N} sobre {w} no se parece en nada a {w}.", "Con {w} en la mano, {N} salió a buscar la casa de {w}.",
+    "Aunque {w} fuera verdad, {N} no lo habría dicho por {w}.",
 ]
 FRENCH = [
-    "Sans {w}, le rapport de {N} aurait été plus court.", "Il y a {d} façons de comprendre {w} avec {w}.", "En {y}, {N} a écrit sur {w} et sur {w} sans hâte.", "Pour {N}, {w} compte plus que {w} ou {w}.", "Beaucoup pensent que {w} est simple, mais {N} préférait {w}.",
+    "Quand {N} est arrivé en {y}, il ne restait rien de {w} ni de {w}.", "Au bout de {d} jours, on a su que {w} était plus cher que {w}.", "Ce que {N} disait de {w} ne ressemble pas du tout à {w}.", "Elle a pris {w} avec elle et {N} a gardé la clé de {w}.",
+    "Même si {w} était vrai, {N} ne l'aurait pas dit pour {w}.",
 ]
 
-PLAIN = ["It was so, and he did not see it.", "I do not go to {N} as he did; we go on.", "He and I met at six in {y}.", "She had it all, and it was no use to her.", "If it is not in the {n}, it is on the way to us.", "“No,” he said, “it is not so.”", "We sat by it and did as he bid us to do.", "You can go, but I am to be at the {n} by ten."]
+PLAIN = ["I was not there when it was said.", "So be it, he said to me, and he did as I had.", "In {y} we had no way to do it but by {N}.", "It is up to you if she is to go or to be with us.", "As it was, no one but {N} had an eye on the {n}.", "“Do we go or not?” “We do, if he is up to it.”", "Is it as it was, or am I at an end?", "At six it was hot, and by {d} we had had it."]
 
 
 def _name(r: random.Random) -> str:
