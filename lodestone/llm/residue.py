@@ -251,6 +251,10 @@ WRONG = re.compile(r"""(?i)\b(?:removed|deleted|moved|expired|denied|blocked|dis
     |eliminad[ao]|borrad[ao]|movid[ao]|caducad[ao]|denegad[ao]|bloquead[ao]|inválid[ao]|no (?:se |está |existe|fue|pudo|encontr)|imposible|error|volver|regrese|vuelva|intente|inténtelo|inicie sesión|contacte
     |rimoss[ao]|eliminat[ao]|spostat[ao]|scadut[ao]|negat[ao]|bloccat[ao]|non (?:è|esiste|trovat[ao]|disponibile|può|riesce)|impossibile|errore|torna|tornare|riprova|riprovare|accedi|contatta|removid[ao]|excluíd[ao]|expirad[ao]|negad[ao]|não (?:foi|está|existe|encontr|é|pode)|impossível|erro|voltar|volte|tente|contate
     |verwijderd|verplaatst|verlopen|geweigerd|niet|terug|opnieuw|usunięt[ay]|przeniesion[ay]|nie (?:można|istnieje|znaleziono)|wróć|spróbuj)\b|не (?:найден|удал|существ|доступ|может)|удален|удалён|перемещ|истек|истёк|запрещ|отказ|ошибк|вернит|вернуться|повтор|попробуйте|включите|見つかりません|ありません|できません|削除|移動|エラー|戻|失敗|有効|再|找不到|不存在|无法|無法|已删除|错误|返回|失败|重试|启用|찾을 수|없습니다|오류|돌아|다시""".replace("\n    ", ""))
+#: Lines that make a short page a notice though it says other things too: an error's title or status, or that scripts are wanted.
+STATUS = re.compile(r"(?i)^\W*(?:(?:http|error|status|fehler|erreur)\W{0,6})?[45]\d\d\b[^.]{0,40}$|^\W*(?:error|we are sorry|sorry|oops|access denied|accessdenied|forbidden|page not found|not found|bad gateway|service unavailable|internal server error|session expired|request timed out|nosuchkey|slowdown)\W*$|^\W*(?:error|fehler|erreur)\W{1,3}[45]\d\d\W*$")
+SCRIPTS = re.compile(r"(?i)java ?script|\bscripts?\b|\bscripting\b|\bjs\b|\bskripte?\b|скрипт|スクリプト|脚本|스크립트|\byour browser\b|\b(?:su|tu) navegador\b|\bvotre navigateur\b|\bihr browser\b")
+WANTED = re.compile(r"(?i)\b(?:enabled?|allow|needs?|required?|requires|disabled|turn(?:ed)? (?:it )?(?:on|off)|switched o(?:n|ff)|(?:does|do) not (?:run|support)|blocks?|aktivier|erlaub|nötig|benötigt|deaktiviert|activ[ae]|activer|permit|autoris|necesit|nécess|désactivé|habilit|attiv|richie[ds])|включ|требу|отключ|有効|無効|必要|启用|需要|禁用")
 #: Up to so many characters a page without an article's structure can be a notice by what it says; longer ones must use stock phrases.
 SHORT = 600
 SENTENCE = re.compile(r"(?<=[.!?;])\s+(?=[^\W\d_a-zß-öø-ÿа-я]|[¿¡\"'])|(?<=[。！？])")
@@ -280,6 +284,8 @@ def whole_message(text: str, title: str | None = None, least: float = 0.6) -> st
     short = sum(map(len, lines)) <= SHORT
     # what the page is about must be said once, what is wrong or to be done in most sentences
     topic = short and any(ABOUT.search(s) and WRONG.search(s) for s in lines)
+    if short and len(lines) <= 6 and any(STATUS.search(s) or SCRIPTS.search(s) and WANTED.search(s) for s in lines):
+        least = min(least, 0.2)
     said = own = 0
     first = None
     for i, s in enumerate(lines):
