@@ -1,8 +1,9 @@
 """Subject areas of documents by distributed latent Dirichlet topic models.
 
-A variational topic model is fitted over all documents in a few distributed passes;
-every pass sends the topics to the tasks and brings back one topic-by-term matrix
-of expected counts, whose size is bounded by the vocabulary limit. Topics start
+Every text is cut into words once: one pass counts terms and keeps each document's bag
+as hashes. A variational topic model is then fitted over all documents in distributed
+passes, until the topics settle; every pass sends the topics to the tasks and brings back
+one topic-by-term matrix of expected counts, whose size is bounded by the vocabulary limit. Topics start
 from the term counts of labelled documents and of the whole corpus and are free to
 move. After fitting, each topic is mapped to the subject whose inspected terms are
 found among its top terms; topics without such terms are background. A document
@@ -12,8 +13,9 @@ has a subject when the topics of the subject hold a third or more of its content
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Set
 
 import numpy as np
 import pandas as pd
@@ -23,13 +25,15 @@ from pyspark.sql import functions as F
 from ..session import stage
 from .common import current_keys
 
-#: Terms in the model: those in the most documents of the terms that occur in at
-#: least LEAST_DOCS documents and at most MOST_SHARE of them. Bounds the memory of a pass.
-VOCABULARY = 8192  # term numbers must fit 16 bits
-LEAST_DOCS = 20
+#: Terms in the model: of the terms in at least one of LEAST_SHARE documents (and LEAST_DOCS of them) and
+#: at most MOST_SHARE of all, those in the largest shares of the documents of some language, so that
+#: languages with few documents keep theirs. Bounds the memory of a pass: 4 MB a matrix at 16 topics.
+VOCABULARY = 65_536
+LEAST_DOCS, LEAST_SHARE = 20, 6000
 MOST_SHARE = 0.2
 BACKGROUND = 6
-PASSES = 4
+#: Passes end when topics change by less than SETTLED (half the sum of differences, mean of the topics).
+PASSES, SETTLED = 12, 0.05
 LABEL_ROWS = 20_000
 INNER = 8
 ALPHA, ETA = 0.08, 0.02
@@ -74,7 +78,7 @@ def words_of(title: str | None, text: str) -> list[str]:
     return WORD.findall(s.lower())
 
 
-def language(words: set[str]) -> str:
+def language(words: Set[str]) -> str:
     """The language with the most different function words, '-' where they are under two or a twentieth."""
     counts = {k: len(v & words) for k, v in _FUNCTION.items()}
     best = max(counts, key=lambda k: counts[k])
@@ -87,7 +91,7 @@ def parts(words: list[str], most: int) -> Iterator[list[str]]:
     return (words[i * n // k : (i + 1) * n // k] for i in range(k))
 
 
-def main_language(words: list[str], different: set[str]) -> str:
+def main_language(words: list[str], different: Set[str]) -> str:
     """The language of a text of any length: the one of most of its parts."""
     if len(words) <= LANGUAGE_WINDOW:
         return language(different)
@@ -104,7 +108,7 @@ def _different_runs(words: list[str], width: int = 5) -> int:
     return len(np.unique(runs))
 
 
-def broken(words: list[str], different: set[str]) -> bool:
+def broken(words: list[str], different: Set[str]) -> bool:
     """Text whose letters were torn apart or that repeats itself without end: it has no subject.
 
     It repeats itself when most of its parts have few different words, or the whole
@@ -178,28 +182,43 @@ class Model:
         return [(k, a, " ".join(self.vocabulary[i] for i in np.argsort(-self.beta[:, k], kind="stable")[:n])) for k, a in enumerate(self.topic_of)]
 
 
-def _count(labels: dict[int, tuple[str, ...]]):
-    """Document counts of every (language, term), in all and among the labelled of each area."""
+READ = "id long, ts double, lang string, h binary, c binary, t binary, term string, area string, n long"
+
+
+def _hashes(words: Iterable[str]) -> np.ndarray:
+    """32 bits a word; two words of a vocabulary or of a text are rarely alike in them."""
+    return np.fromiter((zlib.crc32(w.encode("utf-8", "replace")) for w in words), np.uint32)
+
+
+def _read(labels: dict[int, tuple[str, ...]]):
+    """The one pass over the texts. Rows with a term: document counts of every (language,
+    term), in all and among the labelled of each area. Rows without: a document's language, the
+    hashes and counts of its text's words and the hashes of its title's."""
 
     def flush(counts: dict[tuple[str, str], Counter]) -> Iterator[pd.DataFrame]:
         for (lang, area), c in counts.items():
             terms = [w for w in c if len(w) > 1 or w == " "]  # at least the blank
-            yield pd.DataFrame({"lang": lang, "term": terms, "area": area, "n": [c[w] for w in terms]})
+            yield pd.DataFrame({"id": None, "ts": None, "lang": lang, "h": None, "c": None, "t": None, "term": terms, "area": area, "n": [c[w] for w in terms]})
         counts.clear()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
         for x in batches:
-            for i, title, text in zip(x["id"], x["title"], x["text"]):
-                words = words_of(title, text)
-                different = set(words)
-                if broken(words, different):
+            out = []
+            for i, ts, title, text in zip(x["id"], x["ts"], x["title"], x["text"]):
+                words = words_of(None, text)
+                bag = Counter(words)
+                if broken(words, bag.keys()):
                     continue
-                lang = main_language(words, different)
+                lang = main_language(words, bag.keys())
+                head = words_of(None, title) if title else []
+                different = bag.keys() | set(head)
                 different.add(" ")  # stands for the document
                 counts[lang, ""].update(different)
                 for a in (*labels[i], "*") if i in labels else ():  # "*": labelled at all
                     counts[lang, a].update(different)
+                out.append((i, ts, lang, _hashes(bag).tobytes(), np.fromiter(bag.values(), np.uint32).tobytes(), _hashes(head).tobytes()))
+            yield pd.DataFrame(out, columns=["id", "ts", "lang", "h", "c", "t"]).assign(term=None, area=None, n=None)
             if sum(map(len, counts.values())) > 400_000:  # bounds the memory of a task
                 yield from flush(counts)
         yield from flush(counts)
@@ -207,35 +226,47 @@ def _count(labels: dict[int, tuple[str, ...]]):
     return run
 
 
-def _bags(index: dict[str, int], stop: dict[str, frozenset[str]]):
-    """Term numbers and counts of every row, without the terms left out in its language."""
-    by_lang = {k: {w: i for w, i in index.items() if w not in v} for k, v in stop.items()}
+def _bags(vocabulary: list[str], stop: dict[str, frozenset[str]]):
+    """(id, ts, w, c): term numbers and counts of every row, without the terms left out in its language."""
+    h = _hashes(vocabulary)
+    order = np.argsort(h, kind="stable")
+    known = h[order]
+    number = {w: i for i, w in enumerate(vocabulary)}
+    out_of = {k: np.array(sorted(number[w] for w in v if w in number), np.int64) for k, v in stop.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            out = []
-            for i, ts, title, text in zip(x["id"], x["ts"], x["title"], x["text"]):
-                words = words_of(None, text)
-                different = set(words)
-                if broken(words, different):
-                    continue
-                number = by_lang.get(main_language(words, different), index).get
-                bag = Counter(map(number, words))
-                bag.pop(None, None)
-                if bag:  # a title alone doesn't give a text a subject
-                    if title:
-                        bag.update(map(number, words_of(None, title)))
-                        bag.pop(None, None)
-                    keys = sorted(bag)
-                    out.append((i, ts, np.array(keys, np.uint16).tobytes(), np.array([bag[k] for k in keys], np.uint32).tobytes()))
-            yield pd.DataFrame(out, columns=["id", "ts", "w", "c"])
+            n, m = np.array([len(b) // 4 for b in x["h"]], np.int64), np.array([len(b) // 4 for b in x["t"]], np.int64)
+            if not len(x) or not len(known):
+                continue
+            doc = np.concatenate([np.repeat(np.arange(len(x)), n), np.repeat(np.arange(len(x)), m)])
+            got = np.frombuffer(b"".join(x["h"]) + b"".join(x["t"]), np.uint32)
+            c = np.concatenate([np.frombuffer(b"".join(x["c"]), np.uint32).astype(np.int64), np.ones(int(m.sum()), np.int64)])
+            in_text = np.arange(len(doc)) < n.sum()
+            at = np.minimum(np.searchsorted(known, got), len(known) - 1)
+            w = np.where(known[at] == got, order[at], -1)
+            lang = x["lang"].to_numpy(object)
+            for k, gone in out_of.items():
+                if len(gone):
+                    w[(lang[doc] == k) & np.isin(w, gone)] = -1
+            ok = w >= 0
+            has = np.zeros(len(x), bool)
+            has[doc[ok & in_text]] = True  # a title alone doesn't give a text a subject
+            ok &= has[doc]
+            key, back = np.unique(doc[ok] * len(known) + w[ok], return_inverse=True)
+            count = np.bincount(back, c[ok], len(key)).astype(np.uint32)
+            d, w = key // len(known), (key % len(known)).astype(np.int32)
+            cuts = np.flatnonzero(np.append(True, d[1:] != d[:-1])) if len(d) else np.empty(0, np.int64)
+            ends = np.append(cuts[1:], len(d))
+            rows = d[cuts]
+            yield pd.DataFrame({"id": x["id"].to_numpy()[rows], "ts": x["ts"].to_numpy()[rows], "w": [w[a:b].tobytes() for a, b in zip(cuts, ends)], "c": [count[a:b].tobytes() for a, b in zip(cuts, ends)]})
 
     return run
 
 
 def _entries(x: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.array([len(c) // 4 for c in x["c"]])
-    return np.repeat(np.arange(len(x)), n), np.frombuffer(b"".join(x["w"]), np.uint16).astype(np.int32), np.frombuffer(b"".join(x["c"]), np.uint32).astype(np.float32)
+    return np.repeat(np.arange(len(x)), n), np.frombuffer(b"".join(x["w"]), np.int32), np.frombuffer(b"".join(x["c"]), np.uint32).astype(np.float32)
 
 
 def _expect(beta: np.ndarray):
@@ -296,17 +327,18 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], seed: int = 1, lab
     known: dict[int, tuple[str, ...]] = {}
     for r in got:
         known[r["id"]] = (*known.get(r["id"], ()), r["area"])
-    counts = docs.select("id", "title", "text").mapInPandas(_count(known), "lang string, term string, area string, n long").groupBy("term", "lang", "area").agg(F.sum("n").alias("n"))
-    per = counts.groupBy("term").agg(F.sum(F.when(F.col("area") == "", F.col("n"))).alias("df"), F.collect_list(F.struct("lang", "area", "n")).alias("by"))  # by: languages x areas at most
-    # one pass for both: the blank, which stands for the documents themselves, is in all of them and so comes first
-    rows = per.where((F.col("term") == " ") | (F.col("df") >= LEAST_DOCS)).orderBy(F.desc("df"), "term").limit(VOCABULARY + 1).collect()
-    sizes = {(e["lang"], e["area"]): e["n"] for r in rows if r["term"] == " " for e in r["by"]}
-    rows = [r for r in rows if r["term"] != " "]
+    read = stage(docs.mapInPandas(_read(known), READ), "read")
+    counts = read.where("term is not null").groupBy("term", "lang", "area").agg(F.sum("n").alias("n"))
+    sizes = {(r["lang"], r["area"]): r["n"] for r in counts.where(F.col("term") == " ").collect()}  # languages x areas
     docs_n = sum(n for (_, a), n in sizes.items() if a == "")
     by_lang: dict[str, int] = {}
     for (lang, a), n in sizes.items():
         if a == "":
             by_lang[lang] = by_lang.get(lang, 0) + n
+    least = max(LEAST_DOCS, docs_n // LEAST_SHARE)
+    share = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when((F.col("area") == "") & (F.col("lang") == k), F.col("n") / F.lit(float(n))).otherwise(0.0) for k, n in by_lang.items()])
+    per = counts.where(F.col("term") != " ").groupBy("term").agg(F.sum(F.when(F.col("area") == "", F.col("n"))).alias("df"), F.max(share).alias("share"), F.collect_list(F.struct("lang", "area", "n")).alias("by"))  # by: languages x areas at most
+    rows = per.where(F.col("df") >= least).orderBy(F.desc("share"), "term").limit(VOCABULARY).collect()
     of_area = np.array([sum(n for (_, a), n in sizes.items() if a == k) for k in areas], float)
     labelled = max(1.0, float(sum(n for (_, a), n in sizes.items() if a == "*")))
     vocabulary, stop, f, freq = [], {k: set() for k in LANGUAGES}, [], []
@@ -323,9 +355,8 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], seed: int = 1, lab
             vocabulary.append(r["term"])
             f.append(fa)
             freq.append(r["df"])
-    index = {w: i for i, w in enumerate(vocabulary)}
     fixed = {k: frozenset(v) for k, v in stop.items()}
-    bags = stage(docs.mapInPandas(_bags(index, fixed), "id long, ts double, w binary, c binary"), "bags")
+    bags = stage(read.where("term is null").select("id", "ts", "lang", "h", "c", "t").mapInPandas(_bags(vocabulary, fixed), "id long, ts double, w binary, c binary"), "bags")
     k = len(areas) + BACKGROUND
     if not vocabulary:
         return Model(vocabulary, fixed, np.zeros((0, k), np.float32), [None] * k), bags
@@ -342,7 +373,9 @@ def fit(docs: DataFrame, labels: DataFrame, areas: list[str], seed: int = 1, lab
         part = bags.mapInPandas(_expect(beta), "part int, m binary").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(16)))
         sums = part.groupBy("part").applyInPandas(_sum, "part int, m binary").collect()  # at most 16 matrices
         total = sum((np.frombuffer(bytes(r["m"]), np.float32).astype(np.float64) for r in sums), np.zeros(beta.size)).reshape(beta.shape)
-        beta = normalised(total + prior)
+        was, beta = beta, normalised(total + prior)
+        if np.abs(beta - was).sum(0).mean() / 2 < SETTLED:
+            break
     inspected = {a: INSPECTED[a] if a in INSPECTED else " ".join(vocabulary[i] for i in np.argsort(-fm[:, j] * own[:, j], kind="stable")[:15]) for j, a in enumerate(areas)}
     return Model(vocabulary, fixed, beta, map_topics(beta, vocabulary, inspected)), bags
 
