@@ -35,6 +35,7 @@ SCAN_ROWS = 65_536
 CENTRE_SAMPLE, MOST_CENTRES = 262_144, 65_536
 BROADCAST_BYTES = 64 << 20
 BATCH = 256
+MOST_TASKS = 20_000
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -516,6 +517,9 @@ class HnswIndex:
             dealt = dealt.join(F.broadcast(table), "centre")  # one row a centre, at most MOST_CENTRES
             place = F.col("_f") + F.pmod(F.xxhash64("vec_id"), F.col("_n"))
         dealt = dealt.select(place.cast("int").alias("shard"), "centre", "vec_id", "x")
+        if self.shards > 1:  # a task and a file for nearly every shard, which small inputs wouldn't get by themselves
+            spread = min(4 * self.shards, MOST_TASKS)
+            dealt = dealt.repartition(spread, "shard")
 
         def grown(d: pd.DataFrame, row) -> pd.DataFrame:
             g = Graph.of(row, dim, metric, params) if row is not None else Graph(dim, metric, params)
