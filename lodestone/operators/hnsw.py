@@ -22,7 +22,7 @@ from ..functions.vectors import check_array, exact_keys, to_matrix
 from ..types import HnswParams, Metric, check_dim, check_k
 from . import storage
 from .blocks import QUERY_BLOCK, collected, masked, packed
-from .topk import RESULT, best, pad
+from .topk import RESULT, best, pad, screen, trim_rows
 
 #: One row a shard: vectors, levels and links as packed arrays (see Graph.to_bytes).
 GRAPH = "shard int, centre int, n long, ids binary, x binary, level binary, links binary"
@@ -30,6 +30,8 @@ RAW = "query_id long, kind string, shard int, step int, layer int, vec_id long,
 SHARD_ROWS = 20_000
 #: Present nodes up to which candidates of new ones come from a scan, which in batches is faster than walking.
 SCAN_ROWS = 65_536
+#: Passing vectors that a scan takes, at least, in the time of one that a filtered walk passes (measured: 100 and more).
+SCAN_GAIN = 16
 #: Centres are learned from at most this many rows, and there are at most MOST_CENTRES (32 MB at 64
 #: dimensions in double precision); with more shards than that a centre has several.
 CENTRE_SAMPLE, MOST_CENTRES = 262_144, 65_536
@@ -120,15 +122,17 @@ class Graph:
         return dots
 
     # -- walking
-    def walk(self, q: np.ndarray, entry: np.ndarray, ef: int, layer: int, keep: np.ndarray | None = None, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, q: np.ndarray, entry: np.ndarray, ef: int, layer: int, keep: np.ndarray | None = None, width: int = 4, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, keys), queries x ef: the ef best reached nodes of every query, padded with -1 and inf.
 
         All queries walk in step: each expands its ``width`` best open nodes, unless the
         best is worse than the ef-th found. ``entry``: queries x starts, padded
         with -1. Nodes that ``keep`` rejects are walked through but not returned, and
-        while fewer than ef are held the walk goes on.
+        while fewer than ef are held the walk goes on. A query that has evaluated more
+        than ``limit`` nodes is given up and returned without any.
         """
         rows = len(q)
+        seen = np.zeros(rows, np.int64)
         mark = np.full(rows * self.n, -1, np.int32)
         found, best_key = np.full((rows, ef), -1, np.int64), np.full((rows, ef), np.inf, np.float32)
         todo, todo_key = np.full((rows, 0), -1, np.int64), np.full((rows, 0), np.inf, np.float32)
@@ -142,6 +146,7 @@ class Graph:
             mark[flat] = np.arange(len(flat), dtype=np.int32)
             first = mark[flat] == np.arange(len(flat))
             r, new = r[first], new[first]
+            seen += np.bincount(r, minlength=rows)
             k = self.keys(q[r], new).astype(np.float32)
             ok = k < best_key[r].max(1) if len(r) < rows else k < best_key.max(1)[r]
             r, new, k = r[ok], new[ok], k[ok]
@@ -159,6 +164,8 @@ class Graph:
             order = order[:, :most]
             pool, pool_key = np.take_along_axis(pool, order, 1), np.take_along_axis(pool_key, order, 1)
             on = np.isfinite(pool_key[:, 0]) if most else np.zeros(len(live), bool)
+            if limit is not None:
+                on &= seen[live] <= limit
             live, pool, pool_key = live[on], pool[on], pool_key[on]
             if not len(live):
                 break
@@ -185,6 +192,8 @@ class Graph:
                     r, new = r[ok], new[ok]
                     ok = mark[r * self.n + new] < 0
                     r, new = r[ok], new[ok]
+        if limit is not None:
+            found[seen > limit], best_key[seen > limit] = -1, np.inf
         order = np.lexsort((found, best_key), axis=1)
         return np.take_along_axis(found, order, 1), np.take_along_axis(best_key, order, 1)
 
@@ -306,12 +315,25 @@ class Graph:
             links[h] = self.choose(e, key, cap)
 
     # -- searching
-    def search(self, q: np.ndarray, k: int, ef: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, keys), queries x k, padded with -1 and inf."""
+    def search(self, q: np.ndarray, k: int, ef: int, keep: np.ndarray | None = None, names: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, keys), queries x k, padded with -1 and inf.
+
+        To hold ef nodes that ``keep`` lets through, a walk passes about ef / (their share)
+        nodes. Where scanning the kept ones takes no longer (SCAN_GAIN), and for queries whose
+        walk evaluates more than these or doesn't reach k, they are scanned (ties by ``names``).
+        """
         k = min(k, self.n)
         if not k:
             return np.empty((len(q), 0), np.int64), np.empty((len(q), 0), np.float32)
         ef = min(max(ef, k), self.n)
+        kept = limit = None
+        if keep is not None:
+            kept = np.flatnonzero(keep)
+            if names is not None:
+                kept = kept[np.argsort(names[kept], kind="stable")]
+            if len(kept) ** 2 <= SCAN_GAIN * ef * self.n:
+                return self.scan(q, k, kept)
+            limit = len(kept)
         out = []
         step = max(1, min(BATCH, (64 << 20) // self.n))
         for a in range(0, len(q), step):
@@ -319,8 +341,27 @@ class Graph:
             at = np.full(len(y), self.entry, np.int64)
             for layer in range(self.top, 0, -1):
                 at = self.descend(y, at, layer)
-            out.append([v[:, :k] for v in self.walk(y, at[:, None], ef, 0, keep)])
-        return np.concatenate([n for n, _ in out]), np.concatenate([v for _, v in out])
+            out.append([v[:, :k] for v in self.walk(y, at[:, None], ef, 0, keep, limit=limit)])
+        nodes, key = np.concatenate([n for n, _ in out]), np.concatenate([v for _, v in out])
+        if kept is not None:
+            short = np.flatnonzero(nodes[:, -1] < 0)
+            nodes[short], key[short] = self.scan(q[short], k, kept)
+        return nodes, key
+
+    def scan(self, q: np.ndarray, k: int, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(nodes, keys), queries x k, padded with -1 and inf: the nearest of ``kept``, ties by their place there."""
+        nodes, out = np.full((len(q), k), -1, np.int64), np.full((len(q), k), np.inf, np.float32)
+        x = self.x[kept]
+        step = max(1, min(BATCH, (16 << 20) // (max(len(kept), 1) * self.dim)))
+        for a in range(0, len(q), step):
+            y = q[a : a + step]
+            row, col = screen(y, x, self.metric, k)
+            key = exact_keys(y[row], x[col], self.metric)
+            at = trim_rows(row, key, col, k)
+            row, col, key = row[at], col[at], key[at]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            nodes[a + row, place], out[a + row, place] = kept[col], key
+        return nodes, out
 
     def traced(self, q: np.ndarray, k: int, ef: int) -> tuple[np.ndarray, list[tuple[int, int, float]], list[tuple[int, float]]]:
         """(nodes, hops, evaluated): the end point of the descent on each upper layer from the
@@ -429,7 +470,8 @@ class HnswIndex:
     def __init__(self, dim: int, metric: Metric = Metric.INNER_PRODUCT, params: HnswParams | None = None, shards: int | None = None, probes: int | None = None, shard_rows: int = SHARD_ROWS):
         """``shards``: by default as many as keep a shard at about ``shard_rows`` vectors.
         ``probes``: the centres whose shards a query visits, by default 8 and one more
-        for every doubling of the centres, or all where there are fewer."""
+        for every doubling of the centres, or all where there are fewer; searches with a
+        filter then visit more (see _reach)."""
         if shards is not None and shards < 1 or probes is not None and probes < 1 or shard_rows < 1:
             raise ValueError("shards, probes and shard_rows must be at least 1")
         self.dim, self.metric, self.params = check_dim(dim), Metric.of(metric), params or HnswParams()
@@ -561,16 +603,32 @@ class HnswIndex:
         return self.graph
 
     # -- searching
-    def _dealt_queries(self, queries: DataFrame) -> DataFrame:
+    def _probes(self) -> int:
+        return min(len(self.centres), self.probes or 8 + math.ceil(math.log2(len(self.centres))))
+
+    def _reach(self, kept: DataFrame) -> tuple[np.ndarray, int]:
+        """(centres with vectors that pass, how many of them a query visits): by default as many
+        as hold, in the mean, as many vectors that pass as it would have in reach without a filter."""
+        rows = kept.select("shard", F.size("kept").alias("n")).collect()  # one row a shard
+        shard, own = (np.array([r[c] for r in rows], np.int64) for c in ("shard", "n"))
+        n = np.zeros(len(self.parts), np.int64)
+        np.add.at(n, np.searchsorted(np.cumsum(self.parts), shard, "right"), own)
+        some, probes = np.flatnonzero(n), self._probes()
+        if self.probes is None and len(some):
+            probes = max(probes, math.ceil(probes * self.size / len(n) / n[some].mean()))
+        return some, min(probes, len(some))
+
+    def _dealt_queries(self, queries: DataFrame, reach: tuple[np.ndarray, int] | None = None) -> DataFrame:
         """(shard, qids, qs): the queries of every shard in packed blocks of at most QUERY_BLOCK."""
-        dim, way, centres, parts = self.dim, self._route(), self.centres, self.parts
+        dim, way, parts = self.dim, self._route(), self.parts
         first = np.cumsum(parts) - parts
-        probes = min(len(centres), self.probes or 8 + math.ceil(math.log2(len(centres))))
+        some, probes = reach or (np.arange(len(parts)), self._probes())
+        centres = self.centres[some]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for d in batches:
                 ids, q = d["query_id"].to_numpy(np.int64), to_matrix(d["query"], dim, "queries")
-                c = nearest_centres(way(q), centres, probes).ravel()
+                c = some[nearest_centres(way(q), centres, probes).ravel()]
                 row = np.repeat(np.arange(len(q)), probes)
                 many = parts[c]
                 row, shard = np.repeat(row, many), np.repeat(first[c], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
@@ -585,17 +643,22 @@ class HnswIndex:
         return queries.select("query_id", "query").mapInPandas(run, "shard int, qids binary, qs binary")
 
     def _run(self, queries: DataFrame, k: int, ef: int | None, where: Column | None, mask: DataFrame | Sequence[bool] | None, trace: int | None, absent: str = "error") -> DataFrame:
+        from ..session import stage
+
         dim, metric, params = self.dim, self.metric, self.params
         beam = max(ef if ef is not None else params.ef_search, k)
         graph = self._built()
         filtered = where is not None or mask is not None
         if filtered:
             kept = masked(self.nodes(), where, mask, absent).groupBy("shard").agg(F.collect_list("vec_id").alias("kept"))  # at most a shard's rows
+        reach = None
+        if filtered and self._probes() < len(self.parts):
+            kept = stage(kept, "kept")
+            reach = self._reach(kept)
+        if filtered:
             graph = graph.join(kept, "shard")
-        q = self._dealt_queries(queries)
+        q = self._dealt_queries(queries, reach)
         if len(self.parts) > 1:
-            from ..session import stage
-
             q = stage(q, "asked")  # its size is wanted before it is joined
             size = q.agg(F.sum(F.octet_length("qs") + F.octet_length("qids"))).first()[0] or 0
         else:
@@ -617,7 +680,8 @@ class HnswIndex:
 
     def search(self, queries: DataFrame, k: int = 10, ef: int | None = None, where: Column | None = None, mask: DataFrame | Sequence[bool] | None = None, padded: bool = False, absent: str = "error") -> DataFrame:
         """(query_id, rank, vec_id, score). A predicate (over vec_id, level, embedding) or a mask
-        (see blocks.masked) acts inside the walk of the bottom layer."""
+        (see blocks.masked) acts inside the walk of the bottom layer; where a walk would cost
+        more than a scan of the vectors that pass, these are scanned (see Graph.search)."""
         raw = self._run(queries, k, ef, where, mask, None, absent) if check_k(k) else None
         found = best(raw.select("query_id", "vec_id", "key"), k, self.metric) if raw is not None else queries.sparkSession.createDataFrame([], RESULT)
         return pad(found, queries, k, self.metric) if padded else found
@@ -728,7 +792,7 @@ class HnswIndex:
 def _answers(g: Graph, names: np.ndarray, shard: int, qids: np.ndarray, q: np.ndarray, k: int, beam: int, keep: np.ndarray | None, trace: int | None) -> pd.DataFrame:
     """RAW rows of one shard for a block of queries."""
     if trace is None:
-        nodes, _ = g.search(q, k, beam, keep)
+        nodes, _ = g.search(q, k, beam, keep, names)
         i, j = np.nonzero(nodes >= 0)
         at = nodes[i, j]
         key = exact_keys(q[i], g.x[at], g.metric)  # the walk is in single precision

@@ -337,6 +337,36 @@ def test_graph_against_brute_force_on_many_vectors(spark):
         assert (nodes[:, 0] == 77).all() and (nodes[:, 1:] == -1).all()
 
 
+def test_search_where_few_pass_costs_no_more_than_a_scan(spark, monkeypatch):
+    """Hardly any node passes, those that pass lie far from the queries, or nothing leads to them:
+    the true neighbours, and no walk through the whole graph; of equals the smaller id comes first."""
+    from lodestone.operators import hnsw
+
+    monkeypatch.setattr(hnsw, "SCAN_GAIN", 1, raising=False)
+    x, few = gauss(4000, 24, 3), np.arange(4000) % 200 == 7
+    x[2007] = x[7]
+    n, own = [0], Graph.keys
+    monkeypatch.setattr(Graph, "keys", lambda g, q, nodes: (n.__setitem__(0, n[0] + len(nodes)), own(g, q, nodes))[1])
+    for metric in (L2, IP):
+        g = Graph(24, metric, HnswParams(m=8, ef_construction=60))
+        g.extend(x, levels(1, 0, len(x), 8))
+        for keep, q, ef in ((few, x[::50], 100), (x[:, 0] > 0.15, x[x[:, 0] < -0.3][:80], 100), (np.arange(4000) == 77, x[::50], 10)):
+            n[0] = 0
+            nodes, _ = g.search(q, 10, ef, keep)
+            want = truth(x, q, min(10, int(keep.sum())), metric, keep)
+            assert (nodes[:, : want.shape[1]] == want).all() and (nodes[:, want.shape[1] :] == -1).all()
+            assert n[0] < len(q) * 1200
+        near = x[:, 0] > -0.2  # so many pass that the filter acts inside the walk
+        nodes, _ = g.search(x[:40], 10, 200, near)
+        assert near[nodes].all() and hit_rate(nodes, truth(x, x[:40], 10, metric, near)) > 0.9
+        g.links[0][:] = -1
+        assert (g.search(x[:40], 10, 10, x[:, 0] > 0)[0] == truth(x, x[:40], 10, metric, x[:, 0] > 0)).all()
+    vecs = frame(spark, x[:2200])
+    i = HnswIndex(24, L2, HnswParams(m=4, ef_construction=20)).add(vecs.where("vec_id >= 2000")).staged().add(vecs.where("vec_id < 200")).staged()
+    got = i.search(asked(spark, x[7:8]), 1, where=F.col("vec_id") % 200 == 7, padded=True).collect()
+    assert [r["vec_id"] for r in got] == [7]
+
+
 def test_links_of_a_node():
     """Chosen on the bottom layer up to 2m, spread out, both ways."""
     x = gauss(600, 16, 2)
@@ -403,6 +433,17 @@ def test_shards_by_centre_and_hot_centres(spark):
     assert hit_rate(ids_of(few.search(asks, 10, ef=64), 200, 10), truth(x, q, 10, L2)) > 0.9
 
 
+def test_filtered_search_reaches_as_many_vectors(spark):
+    """Of 30 centres and more a query visits 13 or 14; the few vectors that pass a filter lie at any."""
+    x = gauss(3000, 24, 6)
+    i = HnswIndex(24, L2, HnswParams(m=8, ef_construction=40), shard_rows=100).add(stage(frame(spark, x))).staged()
+    asks = stage(asked(spark, x[:60]))
+    assert len(i.parts) > 14
+    got = ids_of(i.search(asks, 10, ef=50, where=F.col("vec_id") % 60 == 7), 60, 10)
+    assert (got == truth(x, x[:60], 10, L2, np.arange(3000) % 60 == 7)).all()
+    assert {r["vec_id"] for r in i.search(asks, 3, where=F.lit(False), padded=True).collect()} == {-1}
+
+
 def test_graph_of_few(spark):
     x = np.eye(3, 4, dtype=np.float32)
     i = HnswIndex(4, L2).add(frame(spark, x))
